@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,7 +56,7 @@ def discard(df: DataFrame) -> None:
 def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice hold about ``max_bytes`` at most (a single longer text stands alone)."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and (held + n > max_bytes or i - start >= max_rows):

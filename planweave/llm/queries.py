@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import table
-from planweave.llm import langid, pii
+from planweave.llm import html, langid, pii
 from planweave.llm.packing import pack
 
 
@@ -19,12 +19,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op2_pii, op8_html, op9_packing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,7 +36,7 @@ CLOSES_P = frozenset("address article aside blockquote details dialog div dl fie
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus replies respond pagination pager toolbar masthead skip login widget".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
 
 
 class _Node:

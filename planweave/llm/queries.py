@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import table
-from planweave.llm import html, langid, pii
+from planweave.llm import html, langid, media, pii
 from planweave.llm.packing import pack
 
 
@@ -15,6 +15,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store(table(spark, sf_dir, "documents")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op8_html, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op8_html, op9_packing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

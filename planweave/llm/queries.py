@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import table
-from planweave.llm import fingerprint, html, langid, media, pii
+from planweave.llm import fingerprint, html, langid, media, mixing, pii
 from planweave.llm.packing import pack
 
 
@@ -23,6 +23,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assignments(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_pii, op6_fingerprint, op8_html, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op6_fingerprint, op8_html, op9_packing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import table
-from planweave.llm import fingerprint, html, langid, media, mixing, pii
+from planweave.llm import fingerprint, html, langid, media, mixing, ngram_join, pii
 from planweave.llm.packing import pack
 
 
@@ -31,6 +31,10 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -40,7 +44,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op6_fingerprint, op8_html, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op6_fingerprint, op7_ngram_join, op8_html, op9_packing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

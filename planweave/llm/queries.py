@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planweave.llm.common import table
-from planweave.llm import fingerprint, html, langid, media, mixing, ngram_join, pii, repeats
+from planweave.llm import fingerprint, html, langid, lm, media, mixing, ngram_join, pii, repeats
 from planweave.llm.packing import pack
 
 
@@ -31,6 +31,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op4_repeats, op6_fingerprint, op7_ngram_join, op8_html, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op4_repeats, op5_lm_score, op6_fingerprint, op7_ngram_join, op8_html, op9_packing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,19 +38,18 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder, for wide or binary columns that later steps read in part."""
+    """The same rows as a Parquet table in the shared folder, for wide or binary columns; the table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/planweave-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_discard, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for name in {os.path.dirname(f) for f in df.inputFiles() if "/planweave-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def _discard(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions
+from planweave.llm.common import partitions, stored
 
 BINS = 256
 WORDS = 5
@@ -41,7 +41,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in df.columns]
     c = {k: F.col(f"__{k}") for k in ("words", "hashes", "least", "packed")}
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    trimmed = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
     df = df.select(*kept, F.transform(words, lambda w: F.xxhash64(w)).alias("__words"))
     n = F.size(c["words"])
     runs = F.transform(c["words"], lambda h, i: F.xxhash64(h, *[F.get(c["words"], i + k) for k in range(1, WORDS)]))
@@ -98,25 +99,33 @@ def followers(ids: DataFrame, bounds: list[int]) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (its second half replaced from the next document), and their likeness.
 
-    The texts are shuffled once, by id; what each text gives to the one before it is shuffled once more.
+    The texts are shuffled once, by id; what each text gives to the one before it is shuffled once more. Both sides of that join read one
+    exchange: it holds plain texts, since Spark does not see that two exchanges with higher-order functions below are the same.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = rows.filter("doc_id IS NOT NULL")
-    ranges = max(RANGES, partitions(docs.sparkSession))
-    sized = placed.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows"))
+    # New names: an alias that keeps a name is dropped on one side of a self-join alone, and then the exchanges differ.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    placed = rows.filter("id IS NOT NULL")
+    count = partitions(docs.sparkSession)
+    ranges = max(RANGES, count)
+    sized = placed.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.length("body")).alias("n"), F.count("*").alias("rows"))
     shape = sized.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000).alias("bounds"), F.max("rows").alias("most")).first()
-    before = followers(sized.select("doc_id", "n"), sorted(set(shape["bounds"] or []))).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prior_id"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    printed = with_fingerprint(placed, "text", "fingerprint").repartition(partitions(docs.sparkSession), "doc_id")
-    parts = printed.join(before, "doc_id").select(F.col("prior_id").alias("doc_id"), F.expr("left(text, half)").alias("part"), F.col("fingerprint").alias("next_fingerprint"))
-    if (shape["most"] or 0) > 1:
-        parts = parts.groupBy("doc_id").agg(F.min(F.struct("part", "next_fingerprint")).alias("s")).select("doc_id", "s.*")
-    half = "cast(floor(length(text) / 2) AS int)"
-    new = F.concat(F.expr(f"left(text, length(text) - {half})"), F.coalesce(F.expr(f"left(part, {half})"), F.lit("")))
-    apart = with_fingerprint(rows.filter("doc_id IS NULL"), "text", "fingerprint").withColumns({"part": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("string")})
-    joined = printed.join(parts, "doc_id", "left").unionByName(apart).select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", new.alias("new"))
-    again = with_fingerprint(joined, "new", "edited_fingerprint")
-    return again.select(
-        "doc_id", "n_chars", F.sha2(F.col("new").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+    repeated = (shape["most"] or 0) > 1
+    before = followers(sized.select("doc_id", "n"), sorted(set(shape["bounds"] or []))).select(F.col("next_id").alias("id"), F.col("doc_id").alias("prior_id"), F.floor(F.col("n") / 2).cast("int").alias("half"))
+    dealt = placed.repartition(count, "id")
+    parts = dealt.join(before, "id").select(F.col("prior_id").alias("id"), F.col("id").alias("next_id"), F.expr("left(body, half)").alias("part"))
+    if repeated:
+        parts = parts.groupBy("id").agg(F.min(F.struct("part", "next_id")).alias("s")).select("id", "s.next_id", "s.part")
+    apart = rows.filter("id IS NULL").select("id", "body", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("part"))
+    half = "cast(floor(length(body) / 2) AS int)"
+    new = F.concat(F.expr(f"left(body, length(body) - {half})"), F.coalesce(F.expr(f"left(part, {half})"), F.lit("")))
+    joined = dealt.join(parts, "id", "left").unionByName(apart).select(F.col("id").alias("doc_id"), "next_id", F.length("body").cast("long").alias("n_chars"), F.col("body").alias("text"), new.alias("new"))
+    both = with_fingerprint(with_fingerprint(joined, "text", "fingerprint").withColumn("edited_sha256", F.sha2(F.col("new").cast("binary"), 256)).drop("text"), "new", "edited_fingerprint")
+    printed = stored(both.drop("new"), "fingerprints")
+    following = printed.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    if repeated:
+        following = following.groupBy("next_id").agg(F.min("next_fingerprint").alias("next_fingerprint"))
+    return printed.join(following, "next_id", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

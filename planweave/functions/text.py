@@ -21,9 +21,9 @@ def float_text(v: float | None) -> str | None:
     return np.format_float_positional(v, unique=True, trim="0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _float_texts(values: pd.Series) -> pd.Series:
-    return values.map(float_text, na_action=None).where(values.notna() | values.map(lambda v: v is not None), None)
+    return values.map(float_text)
 
 
 def _floats(c: Column) -> Column:

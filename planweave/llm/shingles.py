@@ -65,7 +65,7 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     multipliers = mixed(np.arange(101, 101 + size, dtype=np.uint64)) | np.uint64(1)
     n = len(hashes)
     whole = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         whole[: n - k] += hashes[k:] * multipliers[k]
     whole = mixed(whole)
     out = []
@@ -73,10 +73,8 @@ def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(whole[a : b - size + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for k in range(b - a):
-                short = short + hashes[a + k] * multipliers[k]
-            out.append(mixed(np.array([short], np.uint64)))
+            terms = np.append(hashes[a:b] * multipliers[: b - a], np.uint64(b - a))
+            out.append(mixed(np.cumsum(terms, dtype=np.uint64)[-1:]))
         else:
             out.append(np.empty(0, np.uint64))
     return out

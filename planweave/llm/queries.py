@@ -55,5 +55,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op4_repeats, op5_lm_score, op6_fingerprint, op7_ngram_join, op8_html, op9_packing, op10_langid)}
 
 
+#: Near groups as SQL: distinct shingles, pairs that share one, links, and the least id that each document reaches.
+_NEAR_GROUPS = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])
+                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS grams
+  FROM w
+), g AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS shared
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs WHERE 100 * shared >= 80 * (total - shared)
+  UNION ALL SELECT y, x FROM pairs WHERE 100 * shared >= 80 * (total - shared)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id FROM s JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_ngram_join": _NEAR_GROUPS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,14 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int,
             yield batch.slice(start)
 
 
+def released() -> None:
+    """Hand freed memory back to the system where the C library can: a worker lives on after its task, and would keep what the task had."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions the session wants for a shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

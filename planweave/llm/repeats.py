@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planweave.llm.anchors import WINDOW, passages
-from planweave.llm.common import partitions, pinned, slices, stored
+from planweave.llm.common import partitions, pinned, released, slices, stored
 from planweave.llm.suffixes import suffix_arrays
 
 PIECE = 4 << 20
 #: Bytes of passages in a shard, about; a shard may be larger where one hash has many passages.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _passages(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -43,7 +43,7 @@ def _passages(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
 
 
 def passage_table(rows: DataFrame) -> DataFrame:
-    """uid, key, content, start, starts, inner: all passages of rows (uid, text)."""
+    """uid, key, content, start, starts, inner: all passages of rows (uid, body)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 4 << 20):
@@ -91,13 +91,13 @@ def _covered(found: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (uid, text), and where ids are null or repeated a table of (uid, doc_id)."""
+    """Rows (uid, body), and where ids are null or repeated a table of (uid, doc_id)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n, known = rows.select(F.count("*"), F.count_distinct("doc_id")).first()
     if n == known:
-        return rows.withColumnRenamed("doc_id", "uid"), None
-    numbered = stored(rows.withColumn("uid", F.monotonically_increasing_id()), "numbered")
-    return numbered.select("uid", "text"), numbered.select("uid", "doc_id")
+        return rows.withColumnsRenamed({"doc_id": "uid", "text": "body"}), None
+    numbered = stored(rows.withColumn("number", F.monotonically_increasing_id()), "numbered").withColumnRenamed("number", "uid")
+    return numbered.select("uid", F.col("text").alias("body")), numbered.select("uid", "doc_id")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -130,9 +130,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         with tempfile.TemporaryDirectory() as folder:  # scratch of this task alone, gone when it ends
             flags = repeated_starts(shard["bytes"].to_pylist(), shard["starts"].to_pylist(), shard["weight"].to_pylist(), folder)
         runs = pa.array([_runs(f).tobytes() for f in flags], pa.binary())
+        released()
         return pa.table({"key": shard["key"], "content": shard["content"], "runs": runs})
 
-    cuts = dealt.join(wanted, "uid").select("text", "wanted").mapInArrow(cut_out, "shard long, key long, content long, bytes binary, starts long, weight long")
+    cuts = dealt.join(wanted, "uid").select("body", "wanted").mapInArrow(cut_out, "shard long, key long, content long, bytes binary, starts long, weight long")
     found = cuts.groupBy("shard").applyInArrow(sorted_out, "key long, content long, runs binary").filter("length(runs) > 0")
     spans = met.select("uid", "key", "content", "start").join(found, ["key", "content"]).groupBy("uid").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
 
@@ -153,7 +154,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     schema = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    done = dealt.join(spans, "uid", "left").select("uid", "text", "found").mapInArrow(removed, schema)
+    done = dealt.join(spans, "uid", "left").select("uid", "body", "found").mapInArrow(removed, schema)
     if names is not None:
         return done.join(names, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
     return done.withColumnRenamed("uid", "doc_id")

@@ -24,25 +24,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, bits: int) -> np.ndarray:
-    """base^0 .. base^(2^bits - 1)."""
-    out = np.ones(1, np.uint64)
-    step = base
-    for _ in range(bits):
-        out = np.concatenate([out, out * np.uint64(step)])
-        step = step * step % (1 << 64)
-    return out
-
-
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """A random odd number for each byte."""
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers_upto(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(1, int(n).bit_length()))[: n + 1]
+    """base^0 .. base^n. The longest array asked for stays; each doubling of it is one multiplication."""
+    out = _POWERS.setdefault(base, np.ones(1, np.uint64))
+    while len(out) <= n:
+        step = np.uint64(pow(base, len(out), 1 << 64))
+        out = _POWERS[base] = np.concatenate([out, out * step])
+    return out[: n + 1]
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -24,10 +24,16 @@ import numpy as np
 INTERNAL = 4_000_000
 #: Tuples in a batch at most, tuples in a range of keys, and bytes that waiting tuples may hold in memory.
 BATCH, RANGE, WAITING_BYTES = 1 << 16, 1 << 15, 64 << 20
-_TUPLE = np.dtype([("key", np.int64), ("place", np.int64), ("lcp", np.int32)])
+_TUPLE = np.dtype([("key", np.int32), ("place", np.int32), ("lcp", np.int32)])
+_LONG_TUPLE = np.dtype([("key", np.int64), ("place", np.int64), ("lcp", np.int32)])
 _FAR = np.iinfo(np.int32).max
 
 
+def _stable_order(values: np.ndarray, top: int) -> np.ndarray:
+    """Stable sorting order of numbers below ``top``; few enough are sorted by digits."""
+    return np.argsort(values.astype(np.uint16) if top <= 1 << 16 else values, kind="stable")
+
+
 class Spool:
     """An append-only array that moves to a file of the folder when asked."""
 
@@ -66,35 +72,31 @@ class Spool:
 class InductionQueue:
     """The disk-backed priority queue: tuples by key, first in first out within a key."""
 
-    def __init__(self, folder: str, per_key: np.ndarray):
-        """``per_key``: how many tuples each key will get in all, from which the ranges are cut."""
-        filled = np.cumsum(per_key)
+    def __init__(self, folder: str, per_key: np.ndarray, kind: np.dtype):
+        """``kind``: the type of a tuple. ``per_key``: how many tuples each key will get in all, from which the ranges are cut."""
+        filled, self.keys = np.cumsum(per_key), len(per_key)
         wanted = np.searchsorted(filled, np.arange(RANGE, filled[-1] + RANGE, RANGE)) if len(filled) else np.empty(0, np.int64)
         self.ends = np.unique(np.append(np.minimum(wanted, len(per_key) - 1), len(per_key) - 1))
-        self.waiting = [Spool(folder, _TUPLE) for _ in self.ends]
-        self.now, self.front, self.at, self.bytes = -1, np.empty(0, _TUPLE), 0, 0
+        self.waiting = [Spool(folder, kind) for _ in self.ends]
+        self.now, self.front, self.at, self.bytes = -1, np.empty(0, kind), 0, 0
 
     def push(self, tuples: np.ndarray) -> None:
-        """Add tuples in the order of their suffixes."""
-        if not len(tuples):
-            return
-        of = np.searchsorted(self.ends, tuples["key"])
-        own = of <= self.now
-        if own.any():
-            rest = np.concatenate([self.front[self.at :], tuples[own]])
-            self.front, self.at = rest[np.argsort(rest["key"], kind="stable")], 0
-            tuples, of = tuples[~own], of[~own]
-        if len(tuples):
-            order = np.argsort(of, kind="stable")
-            tuples, of = tuples[order], of[order]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.waiting[of[a]].append(tuples[a:b].copy())
-            self.bytes += tuples.nbytes
-            if self.bytes > WAITING_BYTES:
-                for spool in self.waiting:
-                    if spool.bytes > 4096:
-                        self.bytes -= spool.spill()
+        """Add tuples with ascending keys; within a key they are in the order of their suffixes."""
+        own = int(np.searchsorted(tuples["key"], self.ends[self.now], side="right")) if self.now >= 0 else 0
+        if own:
+            rest = np.concatenate([self.front[self.at :], tuples[:own]])
+            self.front, self.at = rest[_stable_order(rest["key"], self.keys)], 0
+        at = own
+        while at < len(tuples):
+            of = int(np.searchsorted(self.ends, tuples["key"][at]))
+            end = int(np.searchsorted(tuples["key"], self.ends[of], side="right"))
+            self.waiting[of].append(tuples[at:end].copy())
+            self.bytes += tuples[at:end].nbytes
+            at = end
+        if self.bytes > WAITING_BYTES:
+            for spool in self.waiting:
+                if spool.bytes > 4096:
+                    self.bytes -= spool.spill()
 
     def peek(self) -> np.ndarray:
         """Up to BATCH least tuples; empty when none is left."""
@@ -104,7 +106,7 @@ class InductionQueue:
             self.bytes -= spool.bytes
             found = spool.array()
             single = self.now and self.ends[self.now] == self.ends[self.now - 1] + 1 or self.ends[self.now] == 0
-            self.front, self.at = (found if single else found[np.argsort(found["key"], kind="stable")]), 0
+            self.front, self.at = (found if single else found[_stable_order(found["key"], self.keys)]), 0
         return self.front[self.at : self.at + BATCH]
 
     def take(self, n: int) -> None:
@@ -168,9 +170,10 @@ def induce(text: np.ndarray, alphabet: int, seeds: np.ndarray, seed_lcp: np.ndar
     per_key = np.zeros(2 * alphabet, np.int64)
     per_key[0::2] = per_symbol[::-1] if descending else per_symbol
     per_key[1::2] = np.bincount(seed_symbols, minlength=alphabet)
-    queue = InductionQueue(folder, per_key)
+    kind = _TUPLE if len(text) < 1 << 30 else _LONG_TUPLE
+    queue = InductionQueue(folder, per_key, kind)
     for a in range(0, len(seeds), BATCH):
-        made = np.empty(len(seeds[a : a + BATCH]), _TUPLE)
+        made = np.empty(len(seeds[a : a + BATCH]), kind)
         made["key"], made["place"], made["lcp"] = 2 * seed_symbols[a : a + BATCH] + 1, seeds[a : a + BATCH], seed_lcp[a : a + BATCH]
         queue.push(made)
     places, prefixes = Spool(folder, np.int64), Spool(folder, np.int32)
@@ -179,7 +182,7 @@ def induce(text: np.ndarray, alphabet: int, seeds: np.ndarray, seed_lcp: np.ndar
     minima, batches = np.empty(1024, np.int32), 0  # least prefix from each batch on
     last_key, last_place, kept = -1, -1, 0
     while len(batch := queue.peek()):
-        key, place = batch["key"], batch["place"]
+        key, place = batch["key"].astype(np.int64), batch["place"].astype(np.int64)
         symbol = key >> 1
         left = mirror(text[np.maximum(place - 1, 0)].astype(np.int64))
         goes = (place > 0) & ((left > symbol) | ((left == symbol) & (key & 1 == 0)))
@@ -202,10 +205,10 @@ def induce(text: np.ndarray, alphabet: int, seeds: np.ndarray, seed_lcp: np.ndar
             prefixes.spill()
         who = np.flatnonzero(goes)
         if len(who):
-            order = who[np.argsort(left[who], kind="stable")]
+            order = who[_stable_order(left[who], alphabet)]
             target = left[order]
             new = np.concatenate([[True], target[1:] != target[:-1]])
-            made = np.empty(len(order), _TUPLE)
+            made = np.empty(len(order), kind)
             made["key"], made["place"] = 2 * target, place[order] - 1
             minimum = RangeMinimum(lcp)
             between = np.empty(len(order), np.int32)

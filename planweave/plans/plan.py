@@ -100,6 +100,20 @@ def scan(table: str) -> Scan:
     return Scan(table)
 
 
+def tables_of(plan: Plan | Query) -> list[str]:
+    """The tables a plan scans, as often as it does."""
+    match plan:
+        case Query(root):
+            return tables_of(root)
+        case Scan(table):
+            return [table]
+        case Cross(left, right):
+            return tables_of(left) + tables_of(right)
+        case Filter(child, _) | Project(child, _) | Sort(child, _):
+            return tables_of(child)
+    raise PlanError(f"not a plan node: {plan!r}")
+
+
 def _value_out(v: Literal | Ref) -> dict[str, Any]:
     return {"Column": v.name} if isinstance(v, Ref) else {TYPES[v.type][1]: v.value}
 

@@ -6,18 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from planweave.plans.catalog import Catalog
 from planweave.plans.compile import compile_plan
-from planweave.plans.plan import Cross, Filter, Plan, PlanError, Project, Query, Scan, Sort
-
-
-def _scans(node: Plan) -> list[str]:
-    match node:
-        case Scan(table):
-            return [table]
-        case Cross(left, right):
-            return _scans(left) + _scans(right)
-        case Filter(child, _) | Project(child, _) | Sort(child, _):
-            return _scans(child)
-    return []
+from planweave.plans.plan import Cross, Filter, Plan, PlanError, Project, Query, Sort, tables_of
 
 
 def _sorted(node: Plan) -> bool:
@@ -35,7 +24,7 @@ def follow(query: Query, catalog: Catalog, spark: SparkSession, table: str, fold
     """A streaming DataFrame: the plan with ``table`` read from the Parquet files that come into ``folder``."""
     if _sorted(query.root):
         raise PlanError("a stream has no end and cannot be sorted")
-    if _scans(query.root).count(table) != 1:
+    if tables_of(query).count(table) != 1:
         raise PlanError(f"the plan must scan {table!r} once")
     source = spark.readStream.schema(catalog.frame(spark, table).schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
     live = Catalog(catalog.tables, catalog.frames | {table: source})

@@ -17,7 +17,7 @@ from planweave.functions.profile import ProfileSettings, equi_depth, physically_
 from planweave.functions.text import lines
 from planweave.plans.catalog import Catalog
 from planweave.plans.compile import compile_plan
-from planweave.plans.plan import Plan, Query, from_json, scan, to_json, where
+from planweave.plans.plan import Plan, Query, from_json, scan, tables_of, to_json, where
 from planweave.plans.types import Ref, f64, i32, i64, text, timestamp
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -147,7 +147,8 @@ ENTRIES = _entries()
 def _runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         query: Query = from_json(to_json(entry.plan.build()))  # as a client sends it
-        return compile_plan(query, Catalog.from_directory(spark, sf_dir, TABLES), spark, strategy=entry.strategy)
+        tables = Catalog.from_directory(spark, sf_dir, tuple(dict.fromkeys(tables_of(query))))
+        return compile_plan(query, tables, spark, strategy=entry.strategy)
 
     return run
 

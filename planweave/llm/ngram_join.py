@@ -39,6 +39,8 @@ SIZE = 5
 #: Similarity as a fraction: linked when DENOMINATOR * overlap >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 80, 100
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+#: Buckets of shingles for each partition: enough that partitions, to which buckets are hashed, come out even and one bucket is small.
+BUCKETS_A_PARTITION = 8
 #: Sets in a block of a large cluster, and about as many in a task of small clusters.
 CLUSTER_BLOCK = 512
 _SHARED_LOCALLY = 0xFFFF
@@ -65,7 +67,7 @@ _PART_SCHEMA = "bucket int, block long, ids binary, sizes binary, marks binary,
 
 def shared_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), mark (digest of the set), shared (shingles that occur in another row) for rows (doc_id, text)."""
-    buckets = partitions(docs.sparkSession)
+    buckets = BUCKETS_A_PARTITION * partitions(docs.sparkSession)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, BLOCK_BYTES, BLOCK_ROWS):
@@ -156,7 +158,7 @@ def set_blocks(docs: DataFrame) -> DataFrame:
 def ordered_sets(blocks: DataFrame) -> DataFrame:
     """doc_id, n, tokens, prefix for every set: its shingles as numbers whose order is the global one, commonest first, and those of its
     prefix that another set has. A number is the complement of the count of sets, then 44 bits of the hash."""
-    buckets = partitions(blocks.sparkSession)
+    buckets = BUCKETS_A_PARTITION * partitions(blocks.sparkSession)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,8 @@ Two documents link if their sets of five-word shingles have a Jaccard similarity
    rarest fifth (and one) of each, so sets without a common prefix shingle never link. Chains of common prefix shingles make clusters.
 3. Prefix trees. The sets of a cluster, commonest shingle first, are stored in a tree of shared runs. A set walks the tree with the
    overlap so far; a branch is left when neither what remains of the set nor the longest set below can make the overlap large enough, or
-   when all sets below already hang together with it. A large cluster is cut in blocks, and every pair of blocks gets a tree.
+   when all sets below already hang together with it. A large cluster is cut in blocks, which meet through common hubs; what is not in its
+   largest group then is held against every block.
 4. Components of all links.
 
 Shingles are compared by 64-bit hashes in step 1, and by count and 44 bits of the hash within a cluster.
@@ -43,6 +44,8 @@ BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
 BUCKETS_A_PARTITION = 8
 #: Sets in a block of a large cluster, and about as many in a task of small clusters.
 CLUSTER_BLOCK = 512
+#: Sets that every block of a large cluster has beside its own.
+HUBS = 4
 _SHARED_LOCALLY = 0xFFFF
 _LOW44 = np.uint64((1 << 44) - 1)
 
@@ -221,6 +224,7 @@ class PrefixTree:
         self.group: list[int] = []
         self.sizes: list[int] = []
         self.links: list[tuple[int, int]] = []
+        self.first: dict[int, int] = {}  # a set of each known group
 
     def find(self, x: int) -> int:
         while self.group[x] != x:
@@ -228,10 +232,11 @@ class PrefixTree:
             x = self.group[x]
         return x
 
-    def add(self, ranks: list[int]) -> None:
-        """Link a set with all sets in the tree that are not yet in its group, and store it."""
+    def add(self, ranks: list[int], known: int | None = None) -> None:
+        """Link a set with all sets in the tree that are not yet in its group, and store it. A set joins the sets of its ``known`` group at once."""
         own, n = len(self.group), len(ranks)
-        self.group.append(own)
+        fellow = own if known is None else self.first.setdefault(known, own)
+        self.group.append(own if fellow == own else self.find(fellow))
         self.sizes.append(n)
         self._search(own, ranks)
         self._store(own, ranks)
@@ -281,41 +286,63 @@ class PrefixTree:
             node, at = branch, at + k
 
 
-def tree_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links among sets of ordered numbers that join all of them that hang together."""
+def tree_links(ids: list[int], sets: list[np.ndarray], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among sets of ordered numbers that join all of them that hang together. Sets of one ``known`` group hang together already."""
     _, place = np.unique(np.concatenate(sets), return_inverse=True)
     tree, at = PrefixTree(), 0
-    for s in sets:
-        tree.add(place[at : at + len(s)].tolist())
+    for k, s in enumerate(sets):
+        tree.add(place[at : at + len(s)].tolist(), None if known is None else known[k])
         at += len(s)
     return [(ids[a], ids[b]) for a, b in tree.links]
 
 
+def _joined(group: pa.Table) -> pa.Table:
+    """Links in the clusters of one task: a tree for each cluster, small sets first."""
+    own: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
+    for c, i, t, k in zip(group["component"].to_pylist(), group["doc_id"].to_pylist(), group["tokens"].to_pylist(), group["known"].to_pylist(), strict=True):
+        own.setdefault(c, {})[i] = (np.frombuffer(t, np.uint64), i if k is None else k)
+    found = []
+    for rows in own.values():
+        if len(rows) > 1:
+            ids = sorted(rows, key=lambda i: (len(rows[i][0]), i))
+            found += tree_links(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids])
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+_LINKS = "a long, b long"
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """a, b: links between different sets (doc_id, n, tokens, prefix) that make the same components as all links do."""
+    """a, b: links between different sets (doc_id, n, tokens, prefix) that make the same components as all links do.
+
+    A cluster of up to ``CLUSTER_BLOCK`` sets gets one tree. A larger one is dealt to blocks, each with the cluster's hubs beside its own sets,
+    so that a large group of near copies comes together through the hubs. Only sets outside the cluster's largest group so far are then
+    held against all others, block by block.
+    """
     postings = sets.select("doc_id", F.explode("prefix").alias("token"))
     least = postings.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
     chained = postings.join(least, "token").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct()
     clusters = pinned(connected(chained))
-    sized = clusters.groupBy("component").agg(F.count("*").alias("sets")).withColumn("blocks", F.ceil(F.col("sets") / CLUSTER_BLOCK).cast("int"))
-    sized = pinned(sized)
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"] for k in range(HUBS)]
+    sized = pinned(clusters.groupBy("component").agg(F.count("*").alias("sets"), F.array(*hubs).alias("hubs")).withColumn("blocks", F.ceil(F.col("sets") / CLUSTER_BLOCK).cast("int")))
     tasks = max(1, (sized.filter("blocks = 1").agg(F.sum("sets")).first()[0] or 0) // CLUSTER_BLOCK)
-    members = clusters.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = members.withColumn("other", other).select(
-        F.col("node").alias("doc_id"), "component",
-        F.when(F.col("blocks") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(tasks))).alias("task"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-    )
-
-    def joined(group: pa.Table) -> pa.Table:
-        own: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for c, i, t in zip(group["component"].to_pylist(), group["doc_id"].to_pylist(), group["tokens"].to_pylist(), strict=True):
-            own.setdefault(c, []).append((i, np.frombuffer(t, np.uint64)))
-        found = [x for rows in own.values() if len(rows) > 1 for x in tree_links(*map(list, zip(*sorted(rows, key=lambda r: (len(r[1]), r[0])), strict=True)))]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return sets.select("doc_id", "tokens").join(placed, "doc_id").groupBy("task", "i", "j").applyInArrow(joined, "a long, b long")
+    members = clusters.join(sized.drop("hubs", "sets"), "component").select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"))
+    small = F.col("blocks") == 1
+    placed = members.select("doc_id", "component", F.when(small, -1 - F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.col("component")).alias("task"), "i")
+    beside = sized.filter("blocks > 1").select(F.explode("hubs").alias("doc_id"), "component", F.col("component").alias("task"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    tokens, unknown = sets.select("doc_id", "tokens"), F.lit(None).cast("long").alias("known")
+    first = tokens.join(placed.unionByName(beside).distinct(), "doc_id").withColumn("known", unknown).groupBy("task", "i").applyInArrow(_joined, _LINKS)
+    if sized.filter("blocks > 1").isEmpty():
+        return first
+    first = pinned(first)
+    groups = connected(first).select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
+    large = pinned(members.filter("blocks > 1").join(groups, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id")))
+    most = large.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("in"))
+    most = most.withColumn("parts", F.ceil((F.col("all") - F.col("in")) / CLUSTER_BLOCK).cast("int")).filter("parts > 0")
+    paired = large.join(most.select("component", "main", "parts"), "component")
+    every = paired.select("doc_id", "component", "known", "i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    outside = paired.filter("known <> main").select("doc_id", "component", "known", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("j"))
+    return first.unionByName(tokens.join(every.unionByName(outside).distinct(), "doc_id").groupBy("component", "i", "j").applyInArrow(_joined, _LINKS))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_prefix_tree_finds_all_components(seed):
                 assert find(a) == find(b)
 
 
-@pytest.mark.parametrize("block", [512, 3])
+@pytest.mark.parametrize("block", [512, 7, 3, 1])
 def test_groups_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "CLUSTER_BLOCK", block)
     rows = family() + [(5001, None), (5002, ""), (5003, "  "), (5004, "one two"), (5005, "ONE  two"), (5006, "two one")]

@@ -25,6 +25,8 @@ from planweave.llm.common import slices
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
+#: Languages learned at most, those with the most rows.
+LANGUAGES = 512
 BUCKET_BITS = 12
 AMBIGUOUS = 1.0
 
@@ -107,7 +109,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 150, rate: float = 30
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the sample. What comes to the driver is its rows, bounded by ``per_language`` (with the spread of a hash) for each language."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
     rows = known.join(F.broadcast(counts), "lang").filter(place * F.col("n") < per_language).select("text", "lang").collect()
     usable = [(r["text"], r["lang"]) for r in rows if has_letter(r["text"])]

@@ -28,7 +28,7 @@ from planweave.llm.common import pinned, slices
 WINDOW = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Rank is counted in blocks of about so many pieces.
-RANK_BLOCK = 100_000
+RANK_BLOCK = 8192
 
 
 class CapacityTree:

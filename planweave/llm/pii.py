@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ LABELS = ("O", *BASE, "secret", "id")
 ADDED = ("secret", "id")
 MAX_TOKENS = 8
 CONTEXT = 3
+#: Tokens that are decoded together, at most.
+LONGEST = 256
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -160,6 +164,11 @@ class SemiMarkov:
     def decode(self, segments: dict, n: int, fixed: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
         """The best (start, end, label) segments. ``fixed`` segments are kept whole with their label; no other segment cuts or covers one."""
         inside = {k for i, j in fixed for k in range(i + 1, j)}
+        nearest = [n + 1] * (n + 1)  # least end of the fixed segments that start at or after a token
+        for i, j in fixed:
+            nearest[i] = j
+        for i in range(n - 1, -1, -1):
+            nearest[i] = min(nearest[i], nearest[i + 1])
         best = np.full((n + 1, len(LABELS)), -np.inf)
         came = np.zeros((n + 1, len(LABELS), 2), int)
         into, before = {0: self.pairs[0]}, {0: np.zeros(len(LABELS), int)}
@@ -168,7 +177,7 @@ class SemiMarkov:
                 continue
             for i, features, entity in segments[j]:
                 held = fixed.get((i, j))
-                if i in inside or (held is None and any(i <= a and b <= j for a, b in fixed)):
+                if i in inside or (held is None and nearest[i] <= j):
                     continue
                 if held is None:
                     mask = _allowed(i, j, entity, ADDED)
@@ -257,11 +266,12 @@ def _made(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
 
 def _exact(tokens: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> dict[tuple[int, int], str]:
     """Base spans in tokens: the fewest tokens that cover each."""
+    starts, ends = [s for s, _ in tokens], [e for _, e in tokens]
     found: dict[tuple[int, int], str] = {}
     for a, b, kind in spans:
-        own = [k for k, (s, e) in enumerate(tokens) if s < b and e > a]
-        if own:
-            found.setdefault((own[0], own[-1] + 1), kind)
+        first, end = bisect_right(ends, a), bisect_left(starts, b)
+        if first < end:
+            found.setdefault((first, end), kind)
     return found
 
 
@@ -322,15 +332,29 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         yield [x.span() for x in _TOKEN.finditer(text, begin, end)]
 
 
+def _pieces(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """A window in pieces of ``LONGEST`` tokens at most, cut after a token without a trigger where there is one in the last half."""
+    at = 0
+    while len(tokens) - at > LONGEST:
+        end = next((k for k in range(at + LONGEST, at + LONGEST // 2, -1) if not _TRIGGER.search(text, *tokens[k - 1])), at + LONGEST)
+        yield tokens[at:end]
+        at = end
+    if at < len(tokens):
+        yield tokens[at:]
+
+
 def find(text: str | None, model: SemiMarkov) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
     if not text or not _TRIGGER.search(text):
         return base, base
     added: list[tuple[int, int, str]] = []
-    for tokens in windows(text):
+    near = 0
+    for tokens in (piece for window in windows(text) for piece in _pieces(text, window)):
         low, high = tokens[0][0], tokens[-1][1]
-        exact = _exact(tokens, [x for x in base if x[0] < high and x[1] > low])
+        while near < len(base) and base[near][1] <= low:
+            near += 1
+        exact = _exact(tokens, list(takewhile(lambda x: x[0] < high, islice(base, near, None))))
         fixed, taken = {}, set()
         for (i, j), kind in exact.items():
             if j - i <= MAX_TOKENS and not taken & set(range(i, j)):
@@ -341,7 +365,7 @@ def find(text: str | None, model: SemiMarkov) -> tuple[list[tuple[int, int, str]
                 start, end = tokens[i][0], tokens[j - 1][1]
                 while end > start and text[end - 1] in ".,;":
                     end -= 1
-                if not any(a < end and b > start for a, b, _ in base):
+                if not any(a < end and b > start for a, b, _ in takewhile(lambda x: x[0] < high, islice(base, near, None))):
                     added.append((start, end, LABELS[y]))
     order = (*BASE, *ADDED)
     return base, sorted({*base, *added}, key=lambda x: (x[0], order.index(x[2]), x[1]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,9 +49,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def _discard(spark: SparkSession, path: str) -> None:
+    """Through Spark while it runs; after that only a folder of this machine can still be reached."""
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    elif path.startswith(("/", "file:/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:

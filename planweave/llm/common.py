@@ -58,7 +58,8 @@ def _discard(spark: SparkSession, path: str) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of a slice hold about ``max_bytes`` at most (a single longer text stands alone)."""
+    """Cut Arrow batches so that the texts of a slice hold about ``max_bytes`` at most (a single longer text stands alone). After the last one
+    the memory that the work on them left free is handed back."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
         start = held = 0
@@ -69,6 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int,
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+    released()
 
 
 def released() -> None:

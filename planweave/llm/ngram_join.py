@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions, pinned, slices, stored
+from planweave.llm.common import partitions, pinned, released, slices, stored
 from planweave.llm.components import connected
 from planweave.llm.shingles import shingle_sets
 
@@ -119,6 +119,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
                 if cuts[k] < cuts[k + 1]:
                     own = slice(cuts[k], cuts[k + 1])
                     rows.append((block, None, None, None, (pair[own] & 0xFFFF).astype(np.uint16).tobytes(), n[own].astype(np.uint32).tobytes()))
+        released()
         return pa.Table.from_batches([_blobs(rows, ["block", "ids", "sizes", "marks", "at", "n"], [pa.int64(), *[pa.binary()] * 5])])
 
     def summed(group: pa.Table) -> pa.Table:
@@ -306,6 +307,7 @@ def _joined(group: pa.Table) -> pa.Table:
         if len(rows) > 1:
             ids = sorted(rows, key=lambda i: (len(rows[i][0]), i))
             found += tree_links(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids])
+    released()
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
@@ -350,7 +352,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     counted = pinned(shared_counts(rows))
     able = counted.filter(f"doc_id IS NOT NULL AND n > 0 AND {DENOMINATOR} * shared >= {NUMERATOR} * n")
-    first = able.groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    # Held, so that the join below has plain exchanges on both sides and Spark can split a set that very many documents have.
+    first = pinned(able.groupBy("mark").agg(F.min("doc_id").alias("rep")))
     copies = pinned(able.join(first, "mark").select("doc_id", "rep").distinct())
     reps = copies.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(rows.join(reps, "doc_id", "left_semi"), "reps")

@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    _small_batches(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if configured:
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts are large: where the session has Spark's usual number of rows in one, take a tenth of it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """The same rows, computed once and held in the shared checkpoint folder."""
     shared_dir(df.sparkSession)

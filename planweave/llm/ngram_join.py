@@ -39,7 +39,7 @@ from planweave.llm.shingles import shingle_sets
 SIZE = 5
 #: Similarity as a fraction: linked when DENOMINATOR * overlap >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 80, 100
-BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 4096
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
 #: Buckets of shingles for each partition: enough that partitions, to which buckets are hashed, come out even and one bucket is small.
 BUCKETS_A_PARTITION = 8
 #: Sets in a block of a large cluster, and about as many in a task of small clusters.

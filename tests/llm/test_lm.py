@@ -68,3 +68,31 @@ def test_score(spark):
     assert found[0][0]["log_likelihood"] == pytest.approx(found[None][0]["log_likelihood"]) == pytest.approx(found[0][1]["log_likelihood"])
     assert found[0][0]["mean_log_likelihood"] > found[1000][0]["mean_log_likelihood"]
     assert lm.score(docs.limit(0)).count() == 0
+
+
+def test_exact_words_and_neighbours_decide(spark):
+    """Words of one class, and of one form, are told apart by counts of the other documents, and words next to each other count."""
+    rng = np.random.default_rng(3)
+    rare = [f"r{k}" for k in range(2000)]
+    common = [" ".join(rng.choice(rare, 40)) for _ in range(300)]
+    new = " ".join(f"zq{k}" for k in range(40))
+    twice = " ".join(rng.permutation(rare)[:40])
+    mixed_up = " ".join(twice.split()[::-1])
+    rows = [*enumerate(common), (1000, new), (1001, twice), (1002, twice), (1003, mixed_up)]
+    found = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1001] == pytest.approx(found[1002]) and found[1001] > found[1003] + 1
+    assert found[1003] > found[1000] + 1
+
+
+def test_word_probabilities_sum_to_one():
+    """Over all words that may stand at a place, with counts of the other texts."""
+    vocabulary = [f"v{k}" for k in range(30)]
+    rng = np.random.default_rng(4)
+    others = [" ".join(rng.choice(vocabulary, 50)) for _ in range(4)]
+    total = 0.0
+    for w in vocabulary:
+        block = lm.Block([*others, f"v1 {w} v2"], 3)
+        counts = [(k, np.concatenate([block._counts(block.word, len(block.words))[:, a].ravel(), np.bincount(block.pair)[b]]).astype(np.int64)) for k, (a, b) in enumerate(zip(*block.buckets))]
+        of_words, of_pairs = block.elsewhere(iter(counts))
+        total += np.exp(block.log_probability(np.full(203, 1 / 30), of_words, of_pairs)[201])
+    assert total == pytest.approx(1.0)

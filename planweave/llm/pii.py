@@ -17,9 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice, takewhile
+from itertools import accumulate, islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ LABELS = ("O", *BASE, "secret", "id")
 ADDED = ("secret", "id")
 MAX_TOKENS = 8
 CONTEXT = 3
-#: Tokens that are decoded together, at most.
-LONGEST = 256
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,13 +136,16 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, exac
     return tuple(k for k, x in enumerate(has) if x)
 
 
-def _segments(text: str, tokens: list[tuple[int, int]], exact: dict[tuple[int, int], str]) -> dict[int, list[tuple[int, tuple[int, ...], bool]]]:
-    """For each end, the candidate segments (start, features, may be an entity). Outside segments have one token; an entity has a trigger."""
+def _segments_at(text: str, tokens: list[tuple[int, int]], exact: dict[tuple[int, int], str]) -> Iterator[tuple[int, list[tuple[int, tuple[int, ...], bool]]]]:
+    """Each end in order, with its candidate segments (start, features, may be an entity). Outside segments have one token; an entity has a trigger."""
     hot = [bool(_TRIGGER.search(text, a, b)) for a, b in tokens]
-    found: dict[int, list[tuple[int, tuple[int, ...], bool]]] = {}
     for j in range(1, len(tokens) + 1):
-        found[j] = [(i, span_features(text, tokens, i, j, exact), any(hot[i:j])) for i in range(max(0, j - MAX_TOKENS), j) if i == j - 1 or any(hot[i:j])]
-    return found
+        yield j, [(i, span_features(text, tokens, i, j, exact), any(hot[i:j])) for i in range(max(0, j - MAX_TOKENS), j) if i == j - 1 or any(hot[i:j])]
+
+
+def _segments(text: str, tokens: list[tuple[int, int]], exact: dict[tuple[int, int], str]) -> dict[int, list[tuple[int, tuple[int, ...], bool]]]:
+    """All candidate segments by end."""
+    return dict(_segments_at(text, tokens, exact))
 
 
 def _allowed(i: int, j: int, entity: bool, labels: tuple[str, ...]) -> np.ndarray:
@@ -161,21 +162,24 @@ class SemiMarkov:
     def scores(self, features: tuple[int, ...]) -> np.ndarray:
         return self.weights[:, list(features)].sum(axis=1)
 
-    def decode(self, segments: dict, n: int, fixed: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
-        """The best (start, end, label) segments. ``fixed`` segments are kept whole with their label; no other segment cuts or covers one."""
+    def decode(self, segments: Iterable[tuple[int, list]], n: int, fixed: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+        """The best (start, end, label) segments, from candidates by end in order, which are taken one end at a time. ``fixed`` segments are kept whole with their label; no other segment cuts or covers one."""
         inside = {k for i, j in fixed for k in range(i + 1, j)}
         nearest = [n + 1] * (n + 1)  # least end of the fixed segments that start at or after a token
         for i, j in fixed:
             nearest[i] = j
         for i in range(n - 1, -1, -1):
             nearest[i] = min(nearest[i], nearest[i + 1])
-        best = np.full((n + 1, len(LABELS)), -np.inf)
-        came = np.zeros((n + 1, len(LABELS), 2), int)
-        into, before = {0: self.pairs[0]}, {0: np.zeros(len(LABELS), int)}
-        for j in range(1, n + 1):
+        came = np.zeros((n + 1, len(LABELS), 2), np.int32)
+        best = np.full(len(LABELS), -np.inf)
+        into, before = {0: self.pairs[0]}, {0: np.zeros(len(LABELS), int)}  # of the last MAX_TOKENS ends
+        for j, candidates in segments:
+            into.pop(j - 1 - MAX_TOKENS, None)
+            before.pop(j - 1 - MAX_TOKENS, None)
             if j in inside:
                 continue
-            for i, features, entity in segments[j]:
+            best = np.full(len(LABELS), -np.inf)
+            for i, features, entity in candidates:
                 held = fixed.get((i, j))
                 if i in inside or (held is None and nearest[i] <= j):
                     continue
@@ -185,13 +189,13 @@ class SemiMarkov:
                     mask = np.full(len(LABELS), -np.inf)
                     mask[held] = 0.0
                 own = into[i] + self.scores(features) + mask
-                better = own > best[j]
-                best[j, better] = own[better]
+                better = own > best
+                best[better] = own[better]
                 came[j, better, 0] = i
                 came[j, better, 1] = before[i][better]
-            paths = best[j][:, None] + self.pairs
+            paths = best[:, None] + self.pairs
             into[j], before[j] = paths.max(axis=0), paths.argmax(axis=0)
-        out, j, y = [], n, int(np.argmax(best[n]))
+        out, j, y = [], n, int(np.argmax(best))
         while j > 0:
             i, x = map(int, came[j, y])
             out.append((i, j, y))
@@ -332,17 +336,6 @@ def windows(text: str) -> Iterator[list[tuple[int, int]]]:
         yield [x.span() for x in _TOKEN.finditer(text, begin, end)]
 
 
-def _pieces(text: str, tokens: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-    """A window in pieces of ``LONGEST`` tokens at most, cut after a token without a trigger where there is one in the last half."""
-    at = 0
-    while len(tokens) - at > LONGEST:
-        end = next((k for k in range(at + LONGEST, at + LONGEST // 2, -1) if not _TRIGGER.search(text, *tokens[k - 1])), at + LONGEST)
-        yield tokens[at:end]
-        at = end
-    if at < len(tokens):
-        yield tokens[at:]
-
-
 def find(text: str | None, model: SemiMarkov) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
@@ -350,22 +343,24 @@ def find(text: str | None, model: SemiMarkov) -> tuple[list[tuple[int, int, str]
         return base, base
     added: list[tuple[int, int, str]] = []
     near = 0
-    for tokens in (piece for window in windows(text) for piece in _pieces(text, window)):
+    for tokens in windows(text):
         low, high = tokens[0][0], tokens[-1][1]
         while near < len(base) and base[near][1] <= low:
             near += 1
-        exact = _exact(tokens, list(takewhile(lambda x: x[0] < high, islice(base, near, None))))
+        close = list(takewhile(lambda x: x[0] < high, islice(base, near, None)))
+        reach = list(accumulate((b for _, b, _ in close), max))  # greatest end so far
+        exact = _exact(tokens, close)
         fixed, taken = {}, set()
         for (i, j), kind in exact.items():
             if j - i <= MAX_TOKENS and not taken & set(range(i, j)):
                 fixed[i, j] = LABELS.index(kind)
                 taken |= set(range(i, j))
-        for i, j, y in model.decode(_segments(text, tokens, exact), len(tokens), fixed):
+        for i, j, y in model.decode(_segments_at(text, tokens, exact), len(tokens), fixed):
             if LABELS[y] in ADDED:
                 start, end = tokens[i][0], tokens[j - 1][1]
                 while end > start and text[end - 1] in ".,;":
                     end -= 1
-                if not any(a < end and b > start for a, b, _ in takewhile(lambda x: x[0] < high, islice(base, near, None))):
+                if not (k := bisect_left(close, end, key=lambda x: x[0])) or reach[k - 1] <= start:
                     added.append((start, end, LABELS[y]))
     order = (*BASE, *ADDED)
     return base, sorted({*base, *added}, key=lambda x: (x[0], order.index(x[2]), x[1]))

@@ -57,6 +57,21 @@ def test_random_field_adds_spans_and_keeps_base_ones():
         assert set(base) <= set(every)
 
 
+def test_long_windows_are_decoded_whole():
+    model = pii.SemiMarkov(*pii.trained())
+    passwords = "\n".join(f"password: hunter{k}x" for k in range(1000))
+    ibans = " ".join(f"DE{10 + k % 90} {1000 + k} 1234 5678 9012 34" for k in range(1000))
+    for text, kind in ((passwords, "secret"), (ibans, "id")):
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        base, every = pii.find(text, model)
+        exact = pii._exact(tokens, base)
+        fixed = {k: pii.LABELS.index(v) for k, v in exact.items()}
+        uncut = model.decode(pii._segments(text, tokens, exact).items(), len(tokens), fixed)
+        wanted = [(tokens[i][0], tokens[j - 1][1]) for i, j, y in uncut if pii.LABELS[y] == kind]
+        assert [(a, b) for a, b, k in every if k == kind] == wanted
+    assert len([x for x in pii.find(passwords, model)[1] if x[2] == "secret"]) == 1000
+
+
 def test_likelihood_gradient():
     rng = np.random.default_rng(1)
     model = pii.SemiMarkov(rng.normal(size=(len(pii.LABELS), pii._FEATURES)), rng.normal(size=(len(pii.LABELS),) * 2))

@@ -35,27 +35,31 @@ BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialo
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus replies respond pagination pager toolbar masthead skip login widget".split())
+#: Words that may stand beside an unwanted one in a class or id; with any other word (has-sidebar, social-science) it tells nothing.
+NEUTRAL = frozenset("area bar block bottom box container content footer global group header inner item items left link links list main outer page panel post posts primary right row secondary section site slot top unit wrap wrapper".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "silent", "unwanted", "marked", "number")
+    __slots__ = ("tag", "parent", "silent", "unwanted", "doubts", "marked", "number")
 
-    def __init__(self, tag: str, parent: _Node | None, silent: bool, unwanted: bool, marked: int, number: int):
-        self.tag, self.parent, self.silent, self.unwanted, self.marked, self.number = tag, parent, silent, unwanted, marked, number
+    def __init__(self, tag: str, parent: _Node | None, silent: bool, unwanted: bool, doubts: tuple, marked: int, number: int):
+        self.tag, self.parent, self.silent, self.unwanted, self.doubts, self.marked, self.number = tag, parent, silent, unwanted, doubts, marked, number
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, tags, container number, unwanted, marked article number), in page order."""
+    """Lines of (text, tags, container number, unwanted, marked article number, doubts), in page order. Doubts are the elements around a line
+    that a class or id word tells to be boilerplate, as nested pairs (number, outer doubts); ``outside`` has those around each article."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, tuple]] = []
         self.made = 0
-        self.node = _Node("", None, False, False, 0, 0)
+        self.node = _Node("", None, False, False, (), 0, 0)
+        self.outside: dict[int, tuple] = {}
         self.parts: list[str] = []
         self.tags = 0
 
@@ -65,7 +69,7 @@ class _Lines(HTMLParser):
             node = self.node
             while node.parent is not None and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "b", "i", "em", "strong", "span", "a"):
                 node = node.parent
-            self.lines.append((text, self.tags, node.number, self.node.unwanted, self.node.marked))
+            self.lines.append((text, self.tags, node.number, self.node.unwanted, self.node.marked, self.node.doubts))
             self.tags = 0
         self.parts = []
 
@@ -77,10 +81,15 @@ class _Lines(HTMLParser):
                 return True
             if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id") and value and tag not in ("html", "body", "article", "main") and any(w.lower() in UNWANTED for w in _WORD.findall(value)):
-                return True
         return False
 
+    def _is_doubtful(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether a class or id has an unwanted word, and beside it neutral words only."""
+        if tag in ("html", "body", "article", "main"):
+            return False
+        names = (name for key, value in attrs if key in ("class", "id") and value for name in value.split())
+        return any((parts := {w.lower() for w in _WORD.findall(name)}) & UNWANTED and parts <= UNWANTED | NEUTRAL for name in names)
+
     def _pop_to(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
         node = self.node
         while node.parent is not None and node.tag != tag:
@@ -103,7 +112,10 @@ class _Lines(HTMLParser):
         self.made += 1
         parent = self.node
         marked = self.made if tag in ("article", "main") and not parent.marked else parent.marked
-        self.node = _Node(tag, parent, parent.silent or tag in SILENT, parent.unwanted or self._is_unwanted(tag, attrs), marked, self.made)
+        if marked == self.made:
+            self.outside[marked] = parent.doubts
+        doubts = (self.made, parent.doubts) if self._is_doubtful(tag, attrs) else parent.doubts
+        self.node = _Node(tag, parent, parent.silent or tag in SILENT, parent.unwanted or self._is_unwanted(tag, attrs), doubts, marked, self.made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -120,7 +132,7 @@ class _Lines(HTMLParser):
         if not self.node.silent:
             self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, int, bool, int]]:
+    def finish(self) -> list[tuple[str, int, int, bool, int, tuple]]:
         self.close()
         self._end_line()
         return self.lines
@@ -147,12 +159,36 @@ def threshold(values: np.ndarray) -> float:
     return float((ordered[k] + ordered[k + 1]) / 2)
 
 
+def _chain(doubts: tuple) -> Iterator[int]:
+    while doubts:
+        yield doubts[0]
+        doubts = doubts[1]
+
+
+def _wanted(lines: list[tuple[str, int, int, bool, int, tuple]], outside: dict[int, tuple]) -> list[tuple[str, int, int, bool, int, tuple]]:
+    """Lines outside boilerplate. A class or id word does not exclude an element with most of the page's text, nor, where all articles
+    are in such elements, one that holds an article."""
+    lines = [x for x in lines if not x[3]]
+    held: dict[int, int] = {}
+    for x in lines:
+        for k in _chain(x[5]):
+            held[k] = held.get(k, 0) + len(x[0])
+    if not held:
+        return lines
+    total = sum(len(x[0]) for x in lines)
+    lifted = {k for k, n in held.items() if 2 * n > total}
+    marks = {x[4] for x in lines if x[4]}
+    if all(any(k not in lifted for k in _chain(outside[m])) for m in marks):
+        lifted |= {k for m in marks for k in _chain(outside[m])}
+    return [x for x in lines if all(k in lifted for k in _chain(x[5]))]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
     parser.feed(html)
-    lines = [x for x in parser.finish() if not x[3]]
+    lines = _wanted(parser.finish(), parser.outside)
     if not lines:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])

@@ -156,6 +156,14 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert html.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_class_words_do_not_exclude_the_article():
+    for name in ("layout has-sidebar", "no-sidebar", "with-nav", "social-science", "related-work", "share-prices", "menu-open", "sidebar"):
+        assert html.main_text(PAGE % f'<div class="{name}"><article>{BODY}</article><aside>More</aside></div>') == WANTED, name
+    assert html.main_text(PAGE % f'<article>{BODY}<div class="share-bar">Share this</div></article><div class="related-posts"><article>Other</article></div>') == WANTED
+    prose = "<p>" + "words of a long paragraph that goes on and on " * 5 + "</p>"
+    assert html.main_text(f'<body><div id="widget">{prose * 4}</div><div class="ad">Buy!</div></body>').count("long paragraph") == 20
+
+
 def test_smoothing_and_threshold():
     assert html.smoothed(np.ones(9)) == pytest.approx(np.ones(9))
     assert 3 < html.threshold(np.array([1.0, 2, 1, 9, 8, 9])) < 8

@@ -9,9 +9,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    _small_batches(spark)
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one serves a session of one machine; on a
+    cluster no folder of one machine would do, and an error is raised."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if configured:
@@ -29,18 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = jsc.getCheckpointDir()
     if current.isEmpty():
+        if not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="planweave-checkpoint-"))
         current = jsc.getCheckpointDir()
     return current.get()
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Batches of whole texts are large: where the session has Spark's usual number of rows in one, take a tenth of it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "1000")
-
-
 def pinned(df: DataFrame) -> DataFrame:
     """The same rows, computed once and held in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
@@ -82,13 +79,39 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: int, max_bytes: int,
 
 
 def released() -> None:
-    """Hand freed memory back to the system where the C library can: a worker lives on after its task, and would keep what the task had."""
+    """Hand freed memory back to the system, Arrow's and, where it can, the C library's: a worker lives on after its task, and would keep what the task had."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
+def views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The values of a binary column as arrays of numbers, which look at Arrow's own memory. Nulls are empty."""
+    found = []
+    for chunk in column.chunks:
+        _, places, data = chunk.buffers()
+        wide = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        edges = np.frombuffer(places, wide)[chunk.offset : chunk.offset + len(chunk) + 1].tolist() if len(chunk) else [0]
+        size = np.dtype(kind).itemsize
+        found += [np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.empty(0, kind) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return found
+
+
+def text_bytes(rows: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts."""
+    return rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """A name that none of the columns has, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions the session wants for a shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from planweave.llm.common import pinned
 
-MOST_ROUNDS = 60
 #: Links in a part of the table that is held between rounds, about.
 PART = 50_000
 
@@ -21,11 +20,12 @@ def connected(links: DataFrame) -> DataFrame:
 
     A large star ties every greater neighbour of a node to the least one it knows: a minimum for each node, combined before the shuffle, and
     a join that Spark can split where a node has many links. A small star then ties the lesser neighbours of a node, few by now, to the
-    least. When a round changes nothing, every node hangs on the least of its component.
+    least. When a round changes nothing, every node hangs on the least of its component; that is so after a number of rounds which grows with
+    the logarithm of the nodes.
     """
     edges = pinned(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = _measure(edges)
-    for _ in range(MOST_ROUNDS):
+    while True:
         parts = max(1, seen[0] // PART)
         edges = edges.coalesce(parts)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,7 +38,5 @@ def connected(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components have not settled")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions, pinned, released, slices, stored
+from planweave.llm.common import partitions, pinned, released, slices, stored, text_bytes, views
 from planweave.llm.components import connected
 from planweave.llm.shingles import shingle_sets
 
@@ -40,8 +40,9 @@ SIZE = 5
 #: Similarity as a fraction: linked when DENOMINATOR * overlap >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 80, 100
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
-#: Buckets of shingles for each partition: enough that partitions, to which buckets are hashed, come out even and one bucket is small.
-BUCKETS_A_PARTITION = 8
+#: Buckets of shingles for each partition, at least: partitions, to which buckets are hashed, then come out even. And bytes of text whose
+#: shingles a bucket holds, at most: a bucket's memory does not grow with the input.
+BUCKETS_A_PARTITION, BUCKET_BYTES = 8, 2 << 20
 #: Sets in a block of a large cluster, and about as many in a task of small clusters.
 CLUSTER_BLOCK = 512
 #: Sets that every block of a large cluster has beside its own.
@@ -55,6 +56,11 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return -(-n * NUMERATOR // DENOMINATOR)
 
 
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets for the shingles of ``size`` bytes of text."""
+    return max(BUCKETS_A_PARTITION * partitions(spark), -(-size // BUCKET_BYTES))
+
+
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
@@ -68,9 +74,8 @@ _PART_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa
 _PART_SCHEMA = "bucket int, block long, ids binary, sizes binary, marks binary, tokens binary, places binary"
 
 
-def shared_counts(docs: DataFrame) -> DataFrame:
+def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, n (shingles), mark (digest of the set), shared (shingles that occur in another row) for rows (doc_id, text)."""
-    buckets = BUCKETS_A_PARTITION * partitions(docs.sparkSession)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, BLOCK_BYTES, BLOCK_ROWS):
@@ -100,20 +105,18 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         heads = group.filter(pc.is_valid(group["ids"]))
         body = group.filter(pc.is_null(group["ids"]))
         blocks = body["block"].to_pylist()
-        tokens = [np.frombuffer(x, np.uint32) for x in body["tokens"].to_pylist()]
-        places = [np.frombuffer(x, np.uint16) for x in body["places"].to_pylist()]
+        tokens, places = views(body["tokens"], np.uint32), views(body["places"], np.uint16)
         rows = list(zip(heads["block"].to_pylist(), heads["ids"].to_pylist(), heads["sizes"].to_pylist(), heads["marks"].to_pylist(), heads["tokens"].to_pylist(), [None] * len(heads), strict=True))
         if blocks:
             every = np.concatenate(tokens)
-            row = np.repeat(np.arange(len(blocks)), [len(t) for t in tokens])
+            row = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(t) for t in tokens])
             order = np.argsort(every, kind="stable")
             every = every[order]
             same = every[1:] == every[:-1]
-            again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            hit = order[again]
+            hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
             place = np.concatenate(places)[hit].astype(np.int64)
             real = place != _SHARED_LOCALLY
-            pair, n = np.unique(row[hit][real] * (1 << 16) + place[real], return_counts=True)
+            pair, n = np.unique(row[hit][real].astype(np.int64) * (1 << 16) + place[real], return_counts=True)
             cuts = np.searchsorted(pair, np.arange(len(blocks) + 1) << 16)
             for k, block in enumerate(blocks):
                 if cuts[k] < cuts[k + 1]:
@@ -124,20 +127,19 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
     def summed(group: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
-        heads = [r for r in group.to_pylist() if r["ids"] is not None]
+        heads = group.filter(pc.is_valid(group["ids"]))
+        body = group.filter(pc.is_null(group["ids"]))
         # A block that comes twice has the same rows twice: each of its sets is then shared.
-        for head in heads:
-            sizes = np.frombuffer(head["sizes"], np.int64)
-            total = np.frombuffer(head["at"], np.int64).copy()
-            if len(heads) > 1:
-                total = sizes.copy()
-            else:
-                for r in group.to_pylist():
-                    if r["ids"] is None:
-                        total[np.frombuffer(r["at"], np.uint16)] += np.frombuffer(r["n"], np.uint32)
-            ids, null = np.frombuffer(head["ids"][: 8 * len(sizes)], np.int64), np.frombuffer(head["ids"][8 * len(sizes) :], np.uint8)
-            marks = [head["marks"][16 * k : 16 * k + 16] for k in range(len(sizes))]
-            out.append(pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(marks, pa.binary()), pa.array(total)], ["doc_id", "n", "mark", "shared"]))
+        twice = len(heads) > 1
+        for ids, sizes, marks, here in zip(views(heads["ids"], np.uint8), views(heads["sizes"], np.int64), views(heads["marks"], np.uint8), views(heads["at"], np.int64), strict=True):
+            total = sizes.copy() if twice else here.copy()
+            if not twice:
+                for at, n in zip(views(body["at"], np.uint16), views(body["n"], np.uint32), strict=True):
+                    total[at] += n
+            null = ids[8 * len(sizes) :].astype(bool)
+            mark = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sizes), [None, pa.py_buffer(marks.tobytes())]).cast(pa.binary())
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids[: 8 * len(sizes)].view(np.int64), mask=null), pa.array(sizes), mark, pa.array(total)], ["doc_id", "n", "mark", "shared"]))
+        released()
         return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("shared", pa.int64())]))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -159,45 +161,47 @@ def set_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(made, "block long, ids binary, sizes binary, tokens binary")
 
 
-def ordered_sets(blocks: DataFrame) -> DataFrame:
+def ordered_sets(blocks: DataFrame, buckets: int) -> DataFrame:
     """doc_id, n, tokens, prefix for every set: its shingles as numbers whose order is the global one, commonest first, and those of its
     prefix that another set has. A number is the complement of the count of sets, then 44 bits of the hash."""
-    buckets = BUCKETS_A_PARTITION * partitions(blocks.sparkSession)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens, n = np.unique(np.frombuffer(row["tokens"], np.uint64), return_counts=True)
+            for block, own in zip(batch.column(0).to_pylist(), views(pa.chunked_array([batch.column(1)]), np.uint64), strict=True):
+                tokens, n = np.unique(own, return_counts=True)
                 cuts = np.searchsorted(_bucket(tokens, buckets), np.arange(buckets + 1))
-                rows = [(b, row["block"], tokens[cuts[b] : cuts[b + 1]].tobytes(), n[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                rows = [(b, block, tokens[cuts[b] : cuts[b + 1]].tobytes(), n[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
                 if rows:
                     yield _blobs(rows, ["bucket", "block", "tokens", "n"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+        released()
 
     def counted(group: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(x, np.uint64) for x in group["tokens"].to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in group["n"].to_pylist()])
+        tokens = views(group["tokens"], np.uint64)
+        n = np.concatenate(views(group["n"], np.uint32))
         _, place = np.unique(np.concatenate(tokens), return_inverse=True)
         total = np.bincount(place, n).astype(np.uint32)[place]
         cuts = np.cumsum([0, *map(len, tokens)])
         rows = [(block, b, total[cuts[k] : cuts[k + 1]].tobytes()) for k, (block, b) in enumerate(zip(group["block"].to_pylist(), group["bucket"].to_pylist(), strict=True))]
+        released()
         return pa.Table.from_batches([_blobs(rows, ["block", "bucket", "n"], [pa.int64(), pa.int32(), pa.binary()])])
 
     def joined(sets: pa.Table, counts: pa.Table) -> pa.Table:
         found = []
-        by_bucket = dict(zip(counts["bucket"].to_pylist(), counts["n"].to_pylist(), strict=True))
-        total = np.frombuffer(b"".join(by_bucket[b] for b in sorted(by_bucket)), np.uint32)
-        for row in sets.to_pylist()[:1]:
-            tokens = np.frombuffer(row["tokens"], np.uint64)
+        by_bucket = dict(zip(counts["bucket"].to_pylist(), views(counts["n"], np.uint32), strict=True))
+        total = np.concatenate([np.empty(0, np.uint32), *(by_bucket[b] for b in sorted(by_bucket))])
+        # A block that comes twice has the same sets twice; one copy is enough.
+        for ids, sizes, tokens in list(zip(*(views(sets[c], k) for c, k in (("ids", np.int64), ("sizes", np.int64), ("tokens", np.uint64))), strict=True))[:1]:
             _, place = np.unique(tokens, return_inverse=True)
             n = total[place].astype(np.uint64)
             keys = ((np.uint64(0xFFFFF) - np.minimum(n, np.uint64(0xFFFFF))) << np.uint64(44)) | (tokens & _LOW44)
-            sizes, at = np.frombuffer(row["sizes"], np.int64), 0
-            for doc_id, size in zip(np.frombuffer(row["ids"], np.int64).tolist(), sizes.tolist(), strict=True):
+            at = 0
+            for doc_id, size in zip(ids.tolist(), sizes.tolist(), strict=True):
                 own = np.sort(keys[at : at + size])
                 at += size
                 rarest = own[least_overlap(size) - 1 :]  # n - least + 1 of the end
                 found.append((doc_id, size, own.tobytes(), rarest[(rarest >> np.uint64(44)) < 0xFFFFE].view(np.int64).tolist()))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        released()
         return pa.Table.from_batches([_blobs(found, ["doc_id", "n", "tokens", "prefix"], kinds)])
 
     counts = blocks.select("block", "tokens").mapInArrow(dealt, "bucket int, block long, tokens binary, n binary").groupBy("bucket").applyInArrow(counted, "block long, bucket int, n binary")
@@ -299,14 +303,14 @@ def tree_links(ids: list[int], sets: list[np.ndarray], known: list[int] | None =
 
 def _joined(group: pa.Table) -> pa.Table:
     """Links in the clusters of one task: a tree for each cluster, small sets first."""
-    own: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
-    for c, i, t, k in zip(group["component"].to_pylist(), group["doc_id"].to_pylist(), group["tokens"].to_pylist(), group["known"].to_pylist(), strict=True):
-        own.setdefault(c, {})[i] = (np.frombuffer(t, np.uint64), i if k is None else k)
+    own: dict[int, dict[tuple[int, bytes], tuple[int, int, np.ndarray]]] = {}
+    for c, i, t, k in zip(group["component"].to_pylist(), group["doc_id"].to_pylist(), views(group["tokens"], np.uint64), group["known"].to_pylist(), strict=True):
+        own.setdefault(c, {})[i, hashlib.blake2b(t, digest_size=16).digest()] = (i, i if k is None else k, t)  # rows of one id may have different sets
     found = []
     for rows in own.values():
         if len(rows) > 1:
-            ids = sorted(rows, key=lambda i: (len(rows[i][0]), i))
-            found += tree_links(ids, [rows[i][0] for i in ids], [rows[i][1] for i in ids])
+            ids, known, sets = zip(*sorted(rows.values(), key=lambda r: (len(r[2]), r[0])), strict=True)
+            found += tree_links(list(ids), list(sets), list(known))
     released()
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -350,15 +354,16 @@ def links(sets: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counted = pinned(shared_counts(rows))
+    buckets = buckets_for(docs.sparkSession, text_bytes(rows))
+    counted = pinned(shared_counts(rows, buckets))
     able = counted.filter(f"doc_id IS NOT NULL AND n > 0 AND {DENOMINATOR} * shared >= {NUMERATOR} * n")
     # Held, so that the join below has plain exchanges on both sides and Spark can split a set that very many documents have.
     first = pinned(able.groupBy("mark").agg(F.min("doc_id").alias("rep")))
     copies = pinned(able.join(first, "mark").select("doc_id", "rep").distinct())
     reps = copies.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(rows.join(reps, "doc_id", "left_semi"), "reps")
-    again = shared_counts(texts).filter(f"{DENOMINATOR} * shared >= {NUMERATOR} * n").select("doc_id").distinct()
-    sets = stored(ordered_sets(stored(set_blocks(texts.join(again, "doc_id", "left_semi")), "blocks")).filter("size(prefix) > 0"), "sets")
+    again = shared_counts(texts, buckets).filter(f"{DENOMINATOR} * shared >= {NUMERATOR} * n").select("doc_id").distinct()
+    sets = stored(ordered_sets(stored(set_blocks(texts.join(again, "doc_id", "left_semi")), "blocks"), buckets).filter("size(prefix) > 0"), "sets")
     groups = connected(links(sets).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     groups = groups.select(F.col("node").alias("doc_id"), "component")
     return counted.join(groups, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

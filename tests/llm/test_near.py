@@ -114,3 +114,11 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in connected(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(61)} | {k: 100 for k in [*range(100, 140), 200]}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_keep_all_links(spark):
+    one, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = {2: one + " tail", 3: other + " tail"}
+    rows = [(1, one), (1, other), *near.items(), (9, "alone in the world of all words")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (9, 9)}

@@ -102,15 +102,16 @@ def _encoder(path: str) -> tiktoken.Encoding:
     hidden = [b for b in range(256) if b not in visible]
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if all(c in byte_of for c in piece) and piece != "<|endoftext|>"}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        held = json.load(f)
+    special = {t["content"]: t["id"] for t in held["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in held["model"]["vocab"].items() if all(c in byte_of for c in piece) and piece not in special}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of a text and the closing id 0. Same ids as the ``tokenizers`` library gives for the file, special strings taken as text."""
-    encoder = _encoder(path)
-    ids = encoder.encode_ordinary(text or "")
+    """Ids of a text and the closing id 0. Same ids as the ``tokenizers`` library gives for the file with its default settings: a string of
+    the file's added tokens is one id."""
+    ids = _encoder(path).encode(text or "", allowed_special="all")
     ids.append(0)
     return np.array(ids, "<u4")
 

@@ -62,9 +62,8 @@ def test_capacity_tree():
 
 def test_same_ids_as_the_tokenizers_library(spark):
     known = Tokenizer.from_file(PATH)
-    known.encode_special_tokens = True
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    texts += ["", " ", "  a\n\n b\t", "<|endoftext|>", "it's we'LL  I'm", "日本語 ½ ١٢ ǅ ª", "é" * 3000, "​ x y", "a" * 5000, "🙂🙂 ퟿", "1234567 12a b_c --- ##", "don’t"]
+    texts += ["", " ", "  a\n\n b\t", "<|endoftext|>", "a<|endoftext|>b", "x <|endoftext|>\n<|endoftext|><|endof", "it's we'LL  I'm", "日本語 ½ ١٢ ǅ ª", "é" * 3000, "​ x y", "a" * 5000, "🙂🙂 ퟿", "1234567 12a b_c --- ##", "don’t"]
     for text, wanted in zip(texts, known.encode_batch(texts, add_special_tokens=False), strict=True):
         assert token_ids(text, PATH).tolist() == [*wanted.ids, 0], text[:50]
 

@@ -14,8 +14,8 @@ bits of their hash) and grow with the corpus: documents are held in blocks, the
 counted over all blocks, and the totals go back to the blocks.
 
 The network learns from all documents: counts by one pass, then, in numpy, one pass of stochastic gradients over every
-token of every partition, all from one start, with sampled negative classes; the partitions' weights are averaged by tokens, in two
-levels, so that no task receives the models of more than a bounded part of the partitions at once. Scores use the full sum over classes.
+token of every partition, all from one start, with sampled negative classes; the partitions' weights are averaged by tokens, in a tree, so
+that no task receives the models of more than ``FAN`` partitions. Scores use the full sum over classes.
 The partitions of the input decide which tokens are trained on together, so weights differ slightly with the layout of the table.
 
 Defined cases: a text without words (null, empty, blank) has no tokens, score 0 and no mean; repeated rows score the same; other columns
@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.common import partitions, released, slices, stored
+from planweave.llm.common import partitions, released, slices, stored, views
 from planweave.llm.shingles import BASE, mixed, words
 
 FORMS, FREQUENT, SHARED = 1 << 16, 192, 64
 CLASSES = FREQUENT + SHARED
 SIDES = (-2, -1, 1, 2)
 HIDDEN, BATCH, NEGATIVES, RATE = 24, 4096, 48, 0.1
-CHUNKS = 16
+CHUNKS, FAN = 16, 64
 #: Weight of the network's word against counts of neighbours, and the count of a word that no other document has.
 PRIOR, NEW = 20.0, 0.5
 #: Bytes of text in a block, and in all blocks for each bucket of keys.
@@ -140,24 +140,30 @@ def _chunks(values: np.ndarray, weight: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([part] * CHUNKS, pa.int32()), pa.array([weight] * CHUNKS), pa.array(pieces, pa.binary())], ["chunk", "part", "weight", "data"])
 
 
-def _added(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Weighted sum of all partitions' arrays, and the sum of weights. Two levels; CHUNKS rows reach the driver."""
+def _added(rows: DataFrame, parts: int) -> tuple[np.ndarray, float]:
+    """Weighted sum of the arrays of ``parts`` partitions, and the sum of weights. A tree: no task adds more than ``FAN`` arrays; CHUNKS
+    rows reach the driver."""
 
     def add(group: pa.Table) -> pa.Table:
         total: np.ndarray | float = 0.0
-        weights = group["weight"].to_pylist()
-        for data in group["data"]:
-            total = total + np.frombuffer(data.as_py(), np.float64)
-        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "weight": [float(sum(weights))], "data": pa.array([np.asarray(total).tobytes()], pa.binary())})
-
-    spread = F.pmod("part", F.lit(max(2, int(partitions(rows.sparkSession) ** 0.5)))).alias("spread")
-    first = rows.groupBy("chunk", spread).applyInArrow(add, _ROWS)
-    found = sorted(first.groupBy("chunk").applyInArrow(add, _ROWS).collect(), key=lambda r: r["chunk"])
+        for data in views(group["data"], np.float64):
+            total = total + data
+        weight = float(sum(group["weight"].to_pylist()))
+        return pa.table({"chunk": pa.array([group["chunk"][0].as_py()], pa.int32()), "part": pa.array([group["part"][0].as_py()], pa.int32()), "weight": [weight], "data": pa.array([np.asarray(total).tobytes()], pa.binary())})
+
+    while True:
+        parts = -(-parts // FAN)
+        nearer = rows.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
+        rows = nearer.groupBy("chunk", "part").applyInArrow(add, _ROWS)
+        if parts <= 1:
+            break
+    found = sorted(rows.collect(), key=lambda r: r["chunk"])
     return (np.concatenate([np.frombuffer(r["data"], np.float64) for r in found]), found[0]["weight"]) if found else (np.empty(0), 0.0)
 
 
 def learn(docs: DataFrame) -> tuple[Vocabulary, Network]:
     texts = docs.select(F.col("text").cast("string").alias("text"))
+    parts = texts.rdd.getNumPartitions()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FORMS, np.int64)
@@ -165,7 +171,7 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, Network]:
             total += np.bincount(forms(part.column(0).to_pylist())[0], minlength=FORMS)
         yield _chunks(total, 1.0)
 
-    counts, _ = _added(texts.mapInArrow(count, _ROWS))
+    counts, _ = _added(texts.mapInArrow(count, _ROWS), parts)
     vocabulary = Vocabulary(counts if len(counts) else np.zeros(FORMS))
     start = Network(unigram=vocabulary.unigram).values
     of, unigram = vocabulary.of, vocabulary.unigram
@@ -186,10 +192,16 @@ def learn(docs: DataFrame) -> tuple[Vocabulary, Network]:
         if seen:
             yield _chunks(network.values * float(seen), float(seen))
 
-    values, weight = _added(texts.mapInArrow(train, _ROWS))
+    values, weight = _added(texts.mapInArrow(train, _ROWS), parts)
     return vocabulary, Network((values / weight).astype(np.float32) if weight else start)
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys as they first come, and for every key the number of its own."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Compressed, after its length in 8 bytes: most counts are small."""
     data = values.tobytes()
@@ -220,8 +232,8 @@ class Block:
         self.form = (hashes >> np.uint64(48)).astype(np.int64)
         self.before = np.flatnonzero(self.document[1:] == self.document[:-1])
         key = hashes & ~np.uint64(1)
-        self.words, self.word = np.unique(key, return_inverse=True)
-        self.pairs, self.pair = np.unique(mixed(key[self.before] * np.uint64(BASE) + key[self.before + 1]) | np.uint64(1), return_inverse=True)
+        self.words, self.word = _numbered(key)
+        self.pairs, self.pair = _numbered(mixed(key[self.before] * np.uint64(BASE) + key[self.before + 1]) | np.uint64(1))
         self.buckets = [self._places(keys, buckets) for keys in (self.words, self.pairs)]
 
     @staticmethod
@@ -247,8 +259,8 @@ class Block:
         for k, n in totals:
             w, p = (of[k] for of in self.buckets)
             of_words[:, w], of_pairs[p] = n[: 3 * len(w)].reshape(3, -1), n[3 * len(w) :]
-        mine = np.unique(self.document * len(self.words) + self.word, return_inverse=True)[1]
-        paired = np.unique(self.document[self.before] * len(self.pairs) + self.pair, return_inverse=True)[1]
+        mine = _numbered(self.document * len(self.words) + self.word)[1]
+        paired = _numbered(self.document[self.before] * len(self.pairs) + self.pair)[1]
         own = self._counts(mine, len(mine))
         return of_words[:, self.word] - own[:, mine], of_pairs[self.pair] - np.bincount(paired)[paired] if len(paired) else of_pairs
 
@@ -289,10 +301,10 @@ def _totals(blocks: DataFrame, buckets: int, of: np.ndarray) -> DataFrame:
         released()
 
     def count(group: pa.Table) -> pa.Table:
-        parts = [[np.frombuffer(x.as_py(), np.uint64) for x in group[c]] for c in ("words", "pairs")]
+        parts = [views(group[c], np.uint64) for c in ("words", "pairs")]
         ns = [_unpacked(x.as_py(), np.uint32) for x in group["n"]]
         sizes = [len(w) for w in parts[0]]
-        (words_, word), (pairs, pair) = (np.unique(np.concatenate(p), return_inverse=True) for p in parts)
+        (words_, word), (pairs, pair) = (_numbered(np.concatenate(p)) for p in parts)
         every = np.concatenate([n[: 3 * m].reshape(3, -1) for n, m in zip(ns, sizes, strict=True)], axis=1)
         of_words = np.stack([np.bincount(word, n, len(words_)) for n in every]).astype(np.int64)
         of_pairs = np.bincount(pair, np.concatenate([n[3 * m :] for n, m in zip(ns, sizes, strict=True)]), len(pairs)).astype(np.int64)
@@ -335,7 +347,7 @@ def score(docs: DataFrame, learned: tuple[Vocabulary, Network] | None = None) ->
         for a in range(0, len(classes), BATCH):
             base[a : a + BATCH] *= np.exp(model.log_probability(near[:, a : a + BATCH], classes[a : a + BATCH]))
         n = np.bincount(document, minlength=rows)
-        total = np.bincount(document, block.log_probability(base, of_words, of_pairs), rows)
+        total = np.bincount(document, block.log_probability(base, of_words, of_pairs), rows).astype(np.float64)  # of nothing, counts would be integers
         released()
         mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
         return pa.table([held[0], pa.array(n, pa.int64()), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])

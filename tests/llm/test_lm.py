@@ -96,3 +96,46 @@ def test_word_probabilities_sum_to_one():
         of_words, of_pairs = block.elsewhere(iter(counts))
         total += np.exp(block.log_probability(np.full(203, 1 / 30), of_words, of_pairs)[201])
     assert total == pytest.approx(1.0)
+
+
+def test_tables_without_any_word(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) for r in lm.score(docs).collect()) == [(k, 0, 0.0, None) for k in (1, 2, 3)]
+    some = docs.union(spark.createDataFrame([(4, "one two two")], docs.schema)).repartition(1)
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score(some).collect()} == {1: 0, 2: 0, 3: 0, 4: 3}
+
+
+def test_one_score_by_hand(spark):
+    """The score of a document, from the counts of the others and the network's class probabilities, word by word."""
+    rows = ["a b c a b", "b c a", "c c b a", "d a b"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    vocabulary, network = learned = lm.learn(docs)
+    found = {r["doc_id"]: r["log_likelihood"] for r in lm.score(docs, learned).collect()}
+    corpus = [r.split() for r in rows]
+    class_of = {w: int(vocabulary.of[lm.forms([w])[0][0]]) for r in corpus for w in r}
+    for k, own in enumerate(corpus):
+        others = [r for j, r in enumerate(corpus) if j != k]
+        n = lambda w: sum(r.count(w) for r in others)  # noqa: E731, B023
+        pairs = [p for r in others for p in zip(r, r[1:], strict=False)]  # noqa: F841
+        classes = [lm.CLASSES, lm.CLASSES, *(class_of[w] for w in own), lm.CLASSES, lm.CLASSES]
+        total = 0.0
+        for i, w in enumerate(own):
+            near = np.array([[classes[i + 2 + s]] for s in lm.SIDES])
+            fellows = [x for x in class_of if class_of[x] == class_of[w]]
+            base = np.exp(network.log_probability(near, np.array([class_of[w]]))[0]) * (n(w) + lm.NEW) / sum(n(x) + lm.NEW for x in fellows)
+            left = right = base
+            if i:
+                left = (pairs.count((own[i - 1], w)) + lm.PRIOR * base) / (sum(a == own[i - 1] for a, _ in pairs) + lm.PRIOR)
+            if i + 1 < len(own):
+                right = (pairs.count((w, own[i + 1])) + lm.PRIOR * base) / (sum(b == own[i + 1] for _, b in pairs) + lm.PRIOR)
+            total += np.log((left + right) / 2)
+        assert found[k] == pytest.approx(total, rel=1e-5)
+
+
+def test_sums_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 2)
+    docs = spark.createDataFrame([(k, f"w{k} x") for k in range(40)], "doc_id long, text string").repartition(11)
+    vocabulary, _ = lm.learn(docs)
+    assert vocabulary.unigram.sum() == pytest.approx(1.0)
+    counts = np.bincount(lm.forms([f"w{k} x" for k in range(40)])[0], minlength=lm.FORMS)
+    assert vocabulary.unigram == pytest.approx(lm.Vocabulary(counts.astype(float)).unigram)

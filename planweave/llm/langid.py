@@ -4,8 +4,10 @@ Each language has a codeword; one linear classifier for each bit of it is traine
 compared with all codewords by a weighted logistic loss, and the nearest codeword is the prediction. Its share among all codewords is
 the score; a text whose two nearest codewords lie close together is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample: about ``PER_LANGUAGE`` rows of each language, those of the smallest hashes, drawn from
-the rows whose language is known and which are not held out. Predictions read the text alone, all of it.
+The classifiers are fitted on a bounded sample: about ``PER_LANGUAGE`` different texts of each language, those of the smallest hashes, or
+fewer where ``SAMPLE`` texts of all languages would be exceeded, drawn from the rows whose language is known and which are not held out.
+Only features of the sample, of one size each, reach the driver. Every language that occurs is learned. Predictions read the text alone,
+all of it.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0; a null id is not held out; without any labelled row every
 text is ``und``; repeated rows give repeated results; other columns are ignored.
@@ -24,9 +26,8 @@ from pyspark.sql import functions as F
 from planweave.llm.common import slices
 
 UNKNOWN = "und"
-PER_LANGUAGE = 400
-#: Languages learned at most, those with the most rows.
-LANGUAGES = 512
+#: Texts in the sample of a language, and of all languages, about.
+PER_LANGUAGE, SAMPLE = 400, 20_000
 BUCKET_BITS = 12
 AMBIGUOUS = 1.0
 
@@ -84,14 +85,18 @@ class Model:
         return self.languages[order[0]], float(share), len(order) > 1 and float(loss[order[1]] - loss[order[0]]) < AMBIGUOUS
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 150, rate: float = 30.0) -> Model:
+def fit(texts: list[str], labels: list[str]) -> Model:
+    return fitted(np.stack([features(t) for t in texts]) if texts else np.empty((0, 1 << BUCKET_BITS), np.float32), labels)
+
+
+def fitted(x: np.ndarray, labels: list[str], rounds: int = 150, rate: float = 30.0) -> Model:
     """One logistic classifier for each bit, by accelerated gradient descent; every language weighs the same."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1), np.ones(1))
-    x = np.stack([features(t) for t in texts])
-    of = np.array([languages.index(y) for y in labels])
+    number = {y: k for k, y in enumerate(languages)}
+    of = np.array([number[y] for y in labels])
     y = code[of]
     share = (1.0 / np.bincount(of, minlength=len(languages)))[of] / len(languages)
     weights, bias = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1])
@@ -107,13 +112,27 @@ def fit(texts: list[str], labels: list[str], rounds: int = 150, rate: float = 30
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on the sample. What comes to the driver is its rows, bounded by ``per_language`` (with the spread of a hash) for each language."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / (1 << 30)
-    rows = known.join(F.broadcast(counts), "lang").filter(place * F.col("n") < per_language).select("text", "lang").collect()
-    usable = [(r["text"], r["lang"]) for r in rows if has_letter(r["text"])]
-    return fit([t for t, _ in usable], [y for _, y in usable])
+    """Fit on the sample. What comes to the driver is one vector for each of its texts, about ``per_language`` (with the spread of a hash) for
+    each language, and one count for each language. Equal texts have one hash and count and come once."""
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    known = docs.filter(~held_out(F.col("doc_id"))).select(lang.alias("label"), text.alias("body")).filter("label IS NOT NULL AND body IS NOT NULL").withColumn("draw", F.xxhash64(F.lit("langid"), "body"))
+    counts = {r["label"]: r["different"] for r in known.groupBy("label").agg(F.approx_count_distinct("draw", 0.02).alias("different")).collect()}
+    each = max(1, min(per_language, SAMPLE // max(1, len(counts))))
+    most = docs.sparkSession.createDataFrame([(k, each / n) for k, n in counts.items()], "label string, most double")
+    drawn = known.join(F.broadcast(most), "label").filter(F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53)) < F.col("most"))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), 1, 8 << 20):
+                usable = [(y, t, d) for y, t, d in zip(*(c.to_pylist() for c in part.columns), strict=True) if has_letter(t)]
+                found = [pa.compress(features(t).tobytes(), "zstd", asbytes=True) for _, t, _ in usable]
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _, _ in usable], pa.string()), pa.array(found, pa.binary()), pa.array([d for _, _, d in usable], pa.int64())], ["label", "found", "draw"])
+
+    sample = drawn.select("label", "body", "draw").mapInArrow(described, "label string, found binary, draw long").groupBy("label", "draw").agg(F.min("found").alias("found"))
+    rows = sorted(sample.collect(), key=lambda r: (r["label"], r["draw"]))
+    size = 4 << BUCKET_BITS
+    vectors = [np.frombuffer(pa.decompress(r["found"], size, "zstd", asbytes=True), np.float32) for r in rows]
+    return fitted(np.stack(vectors) if vectors else np.empty((0, 1 << BUCKET_BITS), np.float32), [r["label"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -166,6 +166,7 @@ def assignments(docs: DataFrame, **settings: float) -> DataFrame:
 
 
 def mixed(docs: DataFrame, keep_share: float = 0.5, **targets: Mapping[str, float] | None) -> DataFrame:
-    """The kept rows with their own columns."""
+    """The kept rows with their own columns, whatever their names: all but the four that are read here have other names meanwhile."""
+    plain = docs.toDF(*[c if c in ("doc_id", "source", "lang", "text") else f"own_{k}" for k, c in enumerate(docs.columns)])
     cells = cells_of(measured(docs.select("source", "lang", "text")))
-    return decided(measured(docs), cells, keep_share, **targets).filter("mix_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return decided(measured(plain), cells, keep_share, **targets).filter("mix_kept").select(*plain.columns).toDF(*docs.columns)

@@ -31,7 +31,8 @@ from planweave.llm.common import slices
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("O", *BASE, "secret", "id")
 ADDED = ("secret", "id")
-MAX_TOKENS = 8
+#: Tokens of an entity, at most: the longest grouped number, an account number of 34 characters, has nine groups.
+MAX_TOKENS = 10
 CONTEXT = 3
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -246,13 +247,18 @@ def _made(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
         body = "4" + digits(14)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
 
+    def account() -> str:
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        groups = [letters(upper + "0123456789", 4) if rng.random() < 0.5 else letters(upper, 4) if rng.random() < 0.3 else digits(4) for _ in range(rng.integers(3, 8))]
+        return " ".join([letters(upper, 2) + digits(2), *groups, *([digits(rng.integers(1, 4))] if rng.random() < 0.6 else [])])
+
     makers = {
         "email": lambda: f"{word()}.{digits(2)}@{word()}.example.com",
         "ip": lambda: ".".join(str(rng.integers(1, 255)) for _ in range(4)),
         "card": card,
         "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
         "secret": lambda: [f"password={letters('0123456789abcdef', 18)}", f"AKIA{letters('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 8)}{digits(3)}{letters('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 5)}", f'token = "{letters("0123456789abcdef", 40)}"', f"api_key: {letters('0123456789abcdef', 24)}"][rng.integers(4)],
-        "id": lambda: [f"{digits(3)}-{digits(2)}-{digits(4)}", f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"][rng.integers(2)],
+        "id": lambda: [f"{digits(3)}-{digits(2)}-{digits(4)}", f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", account()][rng.integers(3)],
     }
     plain = (lambda: f"{rng.integers(1, 9)}.0", lambda: digits(rng.integers(1, 6)), lambda: f"{rng.integers(1, 40)}.", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{word()}={word()}", lambda: f"{digits(1)},{digits(3)}", lambda: f"{digits(2)}%", lambda: f"{word().upper()}-{word().upper()} {rng.integers(1, 9)}.0", lambda: f"{digits(16)} {digits(16)}", lambda: f"| {digits(3)} | {digits(2)} |", lambda: f"= {word()}", lambda: f"{word()}{digits(1)}", lambda: f"{digits(7)}")
     text, spans = "", []
@@ -371,23 +377,27 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans."""
+    """doc_id, counts of base spans, their digest, all spans, counts of the added kinds and of all spans."""
     weights = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = SemiMarkov(*weights)
         for part in slices(batches, 1, 4 << 20):
             counts: list[list[int]] = [[], [], [], []]
-            digests, joined = [], []
+            digests, joined, numbers = [], [], ([], [], [])
             for text in part.column(1).to_pylist():
                 base, every = find(text, model)
                 for k, kind in enumerate(BASE):
                     counts[k].append(sum(x[2] == kind for x in base))
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 joined.append(_joined(every))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                for column, n in zip(numbers, (*(sum(x[2] == k for x in every) for k in ADDED), len(every)), strict=True):
+                    column.append(n)
+            more = [f"n_{k}" for k in ADDED] + ["n_spans"]
+            columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string()), *(pa.array(c, pa.int64()) for c in numbers)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *more])
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, " + ", ".join(f"n_{k} long" for k in ADDED) + ", n_spans long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 

@@ -19,6 +19,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows behind the digest of ``op1_media``."""
+    return media.clips(media.store(table(spark, sf_dir, "documents")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_pii, op3_mixing, op4_repeats, op5_lm_score, op6_fingerprint, op7_ngram_join, op8_html, op9_packing, op10_langid)}
+    return {f.__name__: f for f in (op1_media, media_clips, op2_pii, op3_mixing, op4_repeats, op5_lm_score, op6_fingerprint, op7_ngram_join, op8_html, op9_packing, op10_langid)}
 
 
 #: Near groups as SQL: distinct shingles, pairs that share one, links, and the least id that each document reaches.

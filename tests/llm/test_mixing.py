@@ -74,3 +74,18 @@ def test_topics():
     assert topic_and_tokens("The License and the LICENSE of a token", TOPICS) == ("law", 8)
     assert topic_and_tokens(None, TOPICS) == topic_and_tokens("", TOPICS) == ("general", 0)
     assert topic_and_tokens("token license", TOPICS)[0] == "computing"
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, f"s{k % 3}", "en", "word " * (k % 7 + 1)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").selectExpr("*", "1 AS mix_topic", "2 AS mix_tokens", "'x' AS __source", "3 AS __factor", "4 AS __salt", "5 AS n", "6 AS mix_kept", "7 AS own_4")
+    kept = mixed(docs, 0.5)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert 0 < len(found) < 60 and {tuple(r[4:]) for r in found} == {(1, 2, "x", 3, 4, 5, 6, 7)}
+    assert {r["doc_id"] for r in found} == {r["doc_id"] for r in mixed(docs.select("doc_id", "source", "lang", "text"), 0.5).collect()}
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "x " * 400_000), (2, "b", "en", "license " * 3)], "doc_id long, source string, lang string, text string")
+    assert {(r["doc_id"], r["tokens"], r["topic"]) for r in assignments(docs).collect()} == {(1, 400_000, "general"), (2, 3, "law")}

@@ -86,3 +86,13 @@ def test_run_gives_what_the_stages_give(spark, tmp_path):
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 50
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_columns_of_any_name(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "1 AS n", "'s' AS __source", "'t' AS mix_topic", "2 AS component_id", "3 AS mark")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns and not docs.isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -176,3 +177,40 @@ def test_extract(spark):
     found = html.extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in found) == [(0, "", 0), (1, WANTED, len(WANTED)), (1, WANTED, len(WANTED)), (2, "", 0)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+SEEN = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 4 != 2)  # not held out
+
+
+def test_language_sample_is_bounded_and_keeps_small_languages(spark):
+    """One text that holds nearly all rows of a language comes once, null ids and repeated ids do not decide the draw, and names may clash."""
+    rng = np.random.default_rng(2)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    many = [(SEEN, "same old text " * 20, "aa")] * 900
+    rest = [(None, " ".join(word("abcde") for _ in range(30)), "aa") for _ in range(300)] + [(SEEN, " ".join(word("vwxyz") for _ in range(30)), "bb") for _ in range(300)]
+    docs = spark.createDataFrame(many + rest, "doc_id long, text string, lang string").selectExpr("*", "3 AS n", "'d' AS draw", "'l' AS label", "4 AS most", "5 AS body")
+    model = langid.train(docs, per_language=50)
+    assert model.languages == ["aa", "bb"]
+    assert [model.predict(" ".join(word(x) for _ in range(30)))[0] for x in ("abcde", "vwxyz")] == ["aa", "bb"]
+    assert langid.accepted(docs).columns == docs.columns and langid.accepted(docs).count() == 1500
+
+
+def test_codewords_of_many_languages():
+    rng = np.random.default_rng(6)
+    letters = [list(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4, replace=False)) for _ in range(40)]
+    made = lambda k: " ".join("".join(rng.choice(letters[k], 6)) for _ in range(40))
+    model = langid.fit([made(k) for k in range(40) for _ in range(6)], [f"l{k:02}" for k in range(40) for _ in range(6)])
+    # Decoding, computed again: the codeword with the least weighted loss.
+    texts = [made(k) for k in range(40)]
+    for text in texts:
+        margins = langid.features(text) @ model.weights + model.bias
+        losses = [sum(t * np.log1p(np.exp(-c * m)) for c, m, t in zip(row, margins, model.trust, strict=True)) for row in model.code]
+        assert model.predict(text)[0] == model.languages[int(np.argmin(losses))]
+    assert np.mean([model.predict(t)[0] == f"l{k:02}" for k, t in enumerate(texts)]) > 0.9
+
+
+def test_numbers_of_nine_groups():
+    model = pii.SemiMarkov(*pii.trained())
+    iban = "MT84 MALT 0110 0001 2345 MTLC AST0 01S0 12"
+    text = f"iban {iban} and so on"
+    assert [text[a:b] for a, b, k in pii.find(text, model)[1] if k == "id"] == [iban]

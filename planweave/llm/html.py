@@ -1,22 +1,27 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing and threshold clustering.
 
 A page is fed, whole, to the standard library's streaming parser. Its events make lines: the text between two block boundaries, with the
-number of tags met and the container it stands in. Containers that never hold main text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are told by element, role, or class and id words, and their lines are left out
-first. Of the other lines the text-to-tag ratios are smoothed over the page with a Gaussian kernel; the threshold that best splits the
-smoothed ratios in two clusters separates regions of content from regions of links and markup. A region is a container: if its lines
-are mostly content, or if it holds the most content of the page, all its lines are kept, so that short headings and paragraphs stay. If
-the page marks its article (``article`` or ``main``), marked containers are its regions and the rest cannot be content.
+number of tags met and the elements it stands in. The text-to-tag ratios of all lines, boilerplate too, are smoothed over the page with a
+Gaussian kernel; the threshold that best splits their logarithms in two clusters separates content from menus, links and markup. Where
+the clusters lie close together, all lines are content.
+
+The clusters select the region. It is the smallest element with ``MOST`` of the content; it grows to the ``article`` or ``main`` around it,
+or else to elements that add only headings and further content. Where the region holds several marked elements, those that are mostly
+content are kept; where it holds unmarked ones only, of every container that is not mostly content nothing is kept. Inside what is kept
+all lines stay, so that short headings and paragraphs do, but for those of elements that never hold main text (menus, headers, footers,
+sidebars, scripts, styles by element or role). A form, and an element whose class or id names a notice, an advert, a sidebar or comments,
+is doubted: it goes unless the clusters find it to be content and it holds most of the region, or an article.
 
 Inside a line, character references are decoded and white space becomes one space; lines are joined in page order by a newline.
 
 Defined cases: null or empty html, or a page without text, gives an empty text; unclosed elements end with their parents or the page;
-other columns are ignored.
+equal pages, and rows that share an id, give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,50 +36,61 @@ from planweave.llm.common import slices
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object audio video canvas head title".split())
-BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialog input search".split())
+BOILERPLATE = frozenset("nav footer aside button select textarea menu dialog input search".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INNER = HEADINGS | frozenset("p li b i em strong span a".split())
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus replies respond pagination pager toolbar masthead skip login widget".split())
 #: Words that may stand beside an unwanted one in a class or id; with any other word (has-sidebar, social-science) it tells nothing.
 NEUTRAL = frozenset("area bar block bottom box container content footer global group header inner item items left link links list main outer page panel post posts primary right row secondary section site slot top unit wrap wrapper".split())
+#: Share of the content that the region holds; and times by which the ratios of the upper cluster exceed those of the lower one, at least.
+MOST, APART = 0.9, 3.0
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "silent", "unwanted", "doubts", "marked", "number")
+    __slots__ = ("tag", "parent", "silent", "unwanted", "doubtful", "marked", "number")
+
+    def __init__(self, tag: str, parent: _Node | None, silent: bool, unwanted: bool, doubtful: bool, marked: _Node | None, number: int):
+        self.tag, self.parent, self.silent, self.unwanted, self.doubtful, self.number = tag, parent, silent, unwanted, doubtful, number
+        self.marked = marked if marked is not None or tag not in ("article", "main") else self  # outermost article around it
+
 
-    def __init__(self, tag: str, parent: _Node | None, silent: bool, unwanted: bool, doubts: tuple, marked: int, number: int):
-        self.tag, self.parent, self.silent, self.unwanted, self.doubts, self.marked, self.number = tag, parent, silent, unwanted, doubts, marked, number
+class _Line:
+    __slots__ = ("text", "tags", "node", "size", "heading")
+
+    def __init__(self, text: str, tags: int, node: _Node):
+        self.text, self.tags, self.node, self.size, self.heading = text, tags, node, len(text), False
+        while node.parent is not None and node.tag in INNER:
+            self.heading |= node.tag in HEADINGS
+            node = node.parent
+        self.node = node
 
 
 class _Lines(HTMLParser):
-    """Lines of (text, tags, container number, unwanted, marked article number, doubts), in page order. Doubts are the elements around a line
-    that a class or id word tells to be boilerplate, as nested pairs (number, outer doubts); ``outside`` has those around each article."""
+    """Lines in page order."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int, tuple]] = []
+        self.lines: list[_Line] = []
         self.made = 0
-        self.node = _Node("", None, False, False, (), 0, 0)
-        self.outside: dict[int, tuple] = {}
+        self.node = _Node("", None, False, False, False, None, 0)
         self.parts: list[str] = []
         self.tags = 0
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            node = self.node
-            while node.parent is not None and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "b", "i", "em", "strong", "span", "a"):
-                node = node.parent
-            self.lines.append((text, self.tags, node.number, self.node.unwanted, self.node.marked, self.node.doubts))
+            self.lines.append(_Line(text, self.tags, self.node))
             self.tags = 0
         self.parts = []
 
     def _is_unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in BOILERPLATE or (tag == "header" and not self.node.marked):
+        if tag in BOILERPLATE or (tag == "header" and self.node.marked is None):
             return True
         for name, value in attrs:
             if name == "role" and value and value.strip().lower() in ROLES:
@@ -84,7 +100,9 @@ class _Lines(HTMLParser):
         return False
 
     def _is_doubtful(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether a class or id has an unwanted word, and beside it neutral words only."""
+        """Whether it is a form, or a class or id has an unwanted word, and beside it neutral words only."""
+        if tag == "form" or any(key == "role" and value == "form" for key, value in attrs):
+            return True
         if tag in ("html", "body", "article", "main"):
             return False
         names = (name for key, value in attrs if key in ("class", "id") and value for name in value.split())
@@ -111,11 +129,7 @@ class _Lines(HTMLParser):
             return
         self.made += 1
         parent = self.node
-        marked = self.made if tag in ("article", "main") and not parent.marked else parent.marked
-        if marked == self.made:
-            self.outside[marked] = parent.doubts
-        doubts = (self.made, parent.doubts) if self._is_doubtful(tag, attrs) else parent.doubts
-        self.node = _Node(tag, parent, parent.silent or tag in SILENT, parent.unwanted or self._is_unwanted(tag, attrs), doubts, marked, self.made)
+        self.node = _Node(tag, parent, parent.silent or tag in SILENT, parent.unwanted or self._is_unwanted(tag, attrs), self._is_doubtful(tag, attrs), parent.marked, self.made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -132,7 +146,7 @@ class _Lines(HTMLParser):
         if not self.node.silent:
             self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, int, bool, int, tuple]]:
+    def finish(self) -> list[_Line]:
         self.close()
         self._end_line()
         return self.lines
@@ -159,28 +173,46 @@ def threshold(values: np.ndarray) -> float:
     return float((ordered[k] + ordered[k + 1]) / 2)
 
 
-def _chain(doubts: tuple) -> Iterator[int]:
-    while doubts:
-        yield doubts[0]
-        doubts = doubts[1]
-
-
-def _wanted(lines: list[tuple[str, int, int, bool, int, tuple]], outside: dict[int, tuple]) -> list[tuple[str, int, int, bool, int, tuple]]:
-    """Lines outside boilerplate. A class or id word does not exclude an element with most of the page's text, nor, where all articles
-    are in such elements, one that holds an article."""
-    lines = [x for x in lines if not x[3]]
-    held: dict[int, int] = {}
-    for x in lines:
-        for k in _chain(x[5]):
-            held[k] = held.get(k, 0) + len(x[0])
-    if not held:
-        return lines
-    total = sum(len(x[0]) for x in lines)
-    lifted = {k for k, n in held.items() if 2 * n > total}
-    marks = {x[4] for x in lines if x[4]}
-    if all(any(k not in lifted for k in _chain(outside[m])) for m in marks):
-        lifted |= {k for m in marks for k in _chain(outside[m])}
-    return [x for x in lines if all(k in lifted for k in _chain(x[5]))]
+def contents(lines: list[_Line]) -> np.ndarray:
+    """For each line, whether its smoothed text-to-tag ratio lies in the upper cluster."""
+    values = np.log1p(smoothed(np.array([x.size / max(1, x.tags) for x in lines])))
+    upper = values >= threshold(values)
+    if upper.all() or values[upper].mean() - values[~upper].mean() < np.log(APART):
+        return np.ones(len(lines), bool)
+    return upper
+
+
+def _around(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _masses(lines: list[_Line], content: np.ndarray) -> tuple[dict[int, _Node], Counter[int], Counter[int], Counter[int]]:
+    """By number of an element: the element, its text, its content, and its text that is neither content nor a heading."""
+    own: dict[int, list] = {}
+    for x, c in zip(lines, content.tolist(), strict=True):
+        held = own.setdefault(x.node.number, [x.node, 0, 0, 0])
+        held[1] += x.size
+        held[2] += x.size * c
+        held[3] += x.size * (not c and not x.heading)
+    nodes: dict[int, _Node] = {}
+    sums: tuple[Counter[int], Counter[int], Counter[int]] = (Counter(), Counter(), Counter())
+    for node, *_ in own.values():
+        for outer in _around(node):
+            if outer.number in nodes:
+                break
+            nodes[outer.number] = outer
+    for number, (_, *sizes) in own.items():
+        for total, size in zip(sums, sizes, strict=True):
+            total[number] += size
+    # Elements have greater numbers than those around them, so one pass from the last to the first adds all up.
+    for number in sorted(nodes, reverse=True):
+        parent = nodes[number].parent
+        if parent is not None:
+            for total in sums:
+                total[parent.number] += total[number]
+    return nodes, *sums
 
 
 def main_text(html: str | None) -> str:
@@ -188,21 +220,55 @@ def main_text(html: str | None) -> str:
         return ""
     parser = _Lines()
     parser.feed(html)
-    lines = _wanted(parser.finish(), parser.outside)
+    lines = parser.finish()
+    if not lines:
+        return ""
+    content = contents(lines)
+    # Boilerplate by element has its part in the clusters, and none in the region.
+    kept = [k for k, x in enumerate(lines) if not x.node.unwanted]
+    lines, content = [lines[k] for k in kept], content[kept]
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
-    values = smoothed(ratios)
-    weight = np.array([len(x[0]) for x in lines], float)
-    content = np.where(values >= threshold(values), weight, 0.0)
-    marked = any(x[4] for x in lines)
-    regions = np.array([x[4] if marked else x[2] for x in lines])
-    numbers, at = np.unique(regions, return_inverse=True)
-    found, whole = np.bincount(at, content), np.bincount(at, weight)
-    if marked:
-        found[numbers == 0] = whole[numbers == 0] = -1.0
-    kept = {int(r) for r, c, w in zip(numbers, found, whole, strict=True) if c >= 0 and 2 * c >= w} | {int(numbers[np.argmax(found)])}
-    return "\n".join(x[0] for x, r in zip(lines, regions, strict=True) if int(r) in kept)
+    if not content.any():
+        content = np.ones(len(lines), bool)
+    nodes, text, good, rest = _masses(lines, content)
+    region = nodes[max(k for k in nodes if good[k] >= MOST * good[0])]
+    if region.marked is not None:
+        region = region.marked
+    else:
+        for outer in _around(region.parent):
+            if rest[outer.number] == rest[region.number]:
+                region = outer
+    inside: dict[int, bool] = {}
+    for number in sorted(nodes):  # outer elements come first
+        node = nodes[number]
+        inside[number] = node is region or (node.parent is not None and inside[node.parent.number])
+    marked = {x.node.marked.number for x in lines if x.node.marked is not None and inside[x.node.number]} if region.marked is None else set()
+    # A doubted element around a marked one stays, but for that of a mark beside others which nothing doubts.
+    doubts = {number: any(k.doubtful for k in _around(nodes[number])) for number in marked}
+    article = set()
+    for number in marked:
+        if not doubts[number] or all(doubts.values()):
+            article.update(k.number for k in _around(nodes[number]))
+    if region.marked is not None:
+        article.update(k.number for k in _around(region))
+    dropped: dict[int, bool] = {}
+    for number in sorted(nodes):
+        node = nodes[number]
+        real = 2 * good[number] >= text[number]
+        gone = node.doubtful and number not in article and not (real and 2 * text[number] > text[region.number])
+        dropped[number] = gone or (node.parent is not None and dropped[node.parent.number])
+    found = [x for x in lines if inside[x.node.number] and not dropped[x.node.number]]
+    if region.marked is None:
+        unit = (lambda x: x.node.marked.number if x.node.marked is not None else -1) if marked else (lambda x: x.node.number)
+        content_of, text_of = Counter(), Counter()
+        for x, c in zip(lines, content.tolist(), strict=True):
+            content_of[unit(x)] += x.size * c
+            text_of[unit(x)] += x.size
+        content_of[-1] = -1
+        best = max((unit(x) for x in found), key=lambda k: content_of[k], default=-1)
+        found = [x for x in found if unit(x) == best or 2 * content_of[unit(x)] >= text_of[unit(x)]]
+    return "\n".join(x.text for x in found)
 
 
 def extract(pages: DataFrame) -> DataFrame:

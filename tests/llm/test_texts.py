@@ -214,3 +214,29 @@ def test_numbers_of_nine_groups():
     iban = "MT84 MALT 0110 0001 2345 MTLC AST0 01S0 12"
     text = f"iban {iban} and so on"
     assert [text[a:b] for a, b, k in pii.find(text, model)[1] if k == "id"] == [iban]
+
+
+def test_the_clusters_choose_the_region(monkeypatch):
+    prose = "".join(f"<p>Paragraph {k} has words enough to be the text of a page, and goes on for a while.</p>" for k in range(4))
+    links = "<div>" + "<a href=x>link</a> <a href=y>next</a><br>" * 14 + "</div>"
+    unmarked = PAGE % f"<div><h2>Head</h2><div>{prose}</div><ul><li>One item of a list in the text, as long as the rest of the lines in it</ul></div>{links}"
+    two = PAGE % f"<article>{prose}</article><article>{links}</article>"
+    found, other = html.main_text(unmarked), html.main_text(two)
+    assert found.startswith("Head\nParagraph 0") and found.endswith("rest of the lines in it") and "link" not in found
+    assert other.count("Paragraph") == 4 and "link" not in other
+    monkeypatch.setattr(html, "contents", lambda lines: np.ones(len(lines), bool))
+    assert "link" in html.main_text(unmarked) and "link" in html.main_text(two)
+
+
+def test_forms_and_doubted_names_are_judged_by_content():
+    prose = "<p>" + "words of a long paragraph that goes on and on " * 5 + "</p>"
+    wanted = "\n".join(["words of a long paragraph that goes on and on " * 5] * 3).replace(" \n", "\n").strip()
+    assert html.main_text(f"<body><form>{prose * 3}<input></form></body>") == wanted
+    assert html.main_text(f'<body><form><nav><a href=x>menu</a></nav><article><section id="social-history">{prose * 3}</section></article></form></body>') == wanted
+    assert html.main_text(f'<body><div class="related-work">{prose * 3}</div><div><p>short</p></div></body>').startswith(wanted)
+    assert html.main_text(f"<body><article>{prose * 3}<form><label>Mail us</label><input></form></article></body>") == wanted
+
+
+def test_many_unclosed_elements():
+    assert html.main_text("<article>" + "<p>x<ul><li>y" * 3000).count("\n") == 5999
+    assert html.main_text("<div><b>" * 20_000 + "deep text").endswith("deep text")

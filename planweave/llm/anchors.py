@@ -44,6 +44,18 @@ def _occurrences(hashes: np.ndarray, keys: np.ndarray, first: np.ndarray, end: n
     return np.searchsorted(found, number * wide + end) - np.searchsorted(found, number * wide + first)
 
 
+#: Turns the hashes of pieces into those of another, independent order.
+_SECOND = np.uint64(0x5851F42D4C957F2D)
+
+
+def parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``passages`` in another order of the pieces: key, first window start and number of window starts of runs of windows. Equal windows
+    have equal keys here too, so passages that share one key can be cut anew by the other."""
+    least = sliding_least(mixed(gram_hashes(data) ^ _SECOND), WINDOW - GRAM + 1)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    return least[first], first, np.diff(np.concatenate([first, [len(least)]]))
+
+
 def passages(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each passage of one string: least hash, first window start, number of window starts, and whether the piece with that hash comes
     more than once in it, without which it has no two equal windows."""

@@ -3,7 +3,8 @@
 Every byte that lies in a string of 400 bytes which also starts anywhere else is removed. The work is cut in shards without losing a match:
 a document's windows of 400 bytes are grouped in passages by the least hash of their pieces (see ``anchors``), equal windows have
 equal hashes, and the hash of one passage alone, with its piece once in it, cannot belong to a repeated window. The passages of the hashes that are left go
-to shards by hash, equal passages once and with the number of their occurrences. A shard's suffix and common-prefix arrays come
+to shards by hash, equal passages once and with the number of their occurrences. A hash whose different passages make more than a shard is
+dealt out again: they are cut by the least hash of every window in a second order of the pieces, and equal windows still meet. A shard's suffix and common-prefix arrays come
 from external induced sorting (see ``suffixes``): suffixes with a common prefix of 400 make a class, and a class with more than one
 occurrence marks all its window starts.
 
@@ -23,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.anchors import WINDOW, passages
+from planweave.llm.anchors import WINDOW, parts, passages
 from planweave.llm.common import partitions, pinned, released, slices, stored
 from planweave.llm.suffixes import suffix_arrays
 
 PIECE = 4 << 20
-#: Bytes of passages in a shard, about; a shard may be larger where one hash has many passages.
-SHARD_BYTES = 1 << 20
+#: Bytes of passages in a shard, about.
+SHARD_BYTES = 4 << 20
 
 
 def _passages(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -56,7 +57,16 @@ def passage_table(rows: DataFrame) -> DataFrame:
 
 
 def repeated_starts(texts: list[bytes], starts: list[int], weights: list[int], folder: str) -> list[np.ndarray]:
-    """For each passage, a flag for each of its window starts: whether the window occurs more than once in all, counting a passage by its weight."""
+    """For each passage, a flag for each of its window starts: whether the window occurs more than once in all, counting a passage by its
+    weight. Equal passages are sorted once."""
+    number: dict[bytes, int] = {}
+    of = [number.setdefault(t, len(number)) for t in texts]
+    first = dict(zip(reversed(of), reversed(starts), strict=True))
+    flags = _repeated(list(number), [first[k] for k in range(len(number))], np.bincount(of, weights).astype(np.int64).tolist(), folder)
+    return [flags[k] for k in of]
+
+
+def _repeated(texts: list[bytes], starts: list[int], weights: list[int], folder: str) -> list[np.ndarray]:
     lengths = np.array([len(t) for t in texts])
     symbols = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -101,45 +111,52 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (start and end, in bytes) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes and the removed runs (start and end, in bytes) of every document."""
     rows, names = _identified(docs)
     count = partitions(docs.sparkSession)
     table = stored(passage_table(rows), "passages")
     shared = table.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).filter("n > 1 OR inner").select("key")
     met = table.join(shared, "key", "left_semi")
     contents = pinned(met.groupBy("key", "content").agg(F.min(F.struct("uid", "start", "starts")).alias("at"), F.count("*").alias("weight")))
-    total = contents.agg(F.sum(F.col("at.starts") + (WINDOW - 1))).first()[0] or 0
+    size = F.sum(F.col("at.starts") + (WINDOW - 1))
+    total = contents.agg(size).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
-    wanted = contents.select(F.col("at.uid").alias("uid"), F.struct("at.start", "at.starts", "key", "content", "weight").alias("p")).groupBy("uid").agg(F.collect_list("p").alias("wanted"))
+    hot = contents.groupBy("key").agg(size.alias("bytes")).filter(F.col("bytes") > SHARD_BYTES).select("key", F.lit(True).alias("hot"))
+    wanted = contents.join(hot, "key", "left").select(F.col("at.uid").alias("uid"), F.struct("at.start", "at.starts", "key", "content", "weight", F.coalesce("hot", F.lit(False)).alias("hot")).alias("p")).groupBy("uid").agg(F.collect_list("p").alias("wanted"))
     # Both uses below read one exchange of the texts.
     dealt = rows.filter("uid IS NOT NULL").repartition(count, "uid")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0, 4 << 20):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 data = text.encode()
                 for p in wanted:
-                    row = (p["key"] % shards, p["key"], p["content"], data[p["start"] : p["start"] + p["starts"] + WINDOW - 1], p["starts"], p["weight"])
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "key", "content", "bytes", "starts", "weight"])
+                    body = data[p["start"] : p["start"] + p["starts"] + WINDOW - 1]
+                    cuts = [(p["key"], 0, p["starts"])]
+                    if p["hot"]:
+                        cuts = zip(*(x.tolist() for x in parts(np.frombuffer(body, np.uint8))), strict=True)
+                    for key, first, starts in cuts:
+                        row = (key % shards, p["key"], p["content"], first, body[first : first + starts + WINDOW - 1], starts, p["weight"])
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            kinds = [*[pa.int64()] * 4, pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "key", "content", "first", "bytes", "starts", "weight"])
 
     def sorted_out(shard: pa.Table) -> pa.Table:
         with tempfile.TemporaryDirectory() as folder:  # scratch of this task alone, gone when it ends
             flags = repeated_starts(shard["bytes"].to_pylist(), shard["starts"].to_pylist(), shard["weight"].to_pylist(), folder)
-        runs = pa.array([_runs(f).tobytes() for f in flags], pa.binary())
+        runs = pa.array([(_runs(f) + a).tobytes() for f, a in zip(flags, shard["first"].to_pylist(), strict=True)], pa.binary())
         released()
         return pa.table({"key": shard["key"], "content": shard["content"], "runs": runs})
 
-    cuts = dealt.join(wanted, "uid").select("body", "wanted").mapInArrow(cut_out, "shard long, key long, content long, bytes binary, starts long, weight long")
+    cuts = dealt.join(wanted, "uid").select("body", "wanted").mapInArrow(cut_out, "shard long, key long, content long, first long, bytes binary, starts long, weight long")
     found = cuts.groupBy("shard").applyInArrow(sorted_out, "key long, content long, runs binary").filter("length(runs) > 0")
     spans = met.select("uid", "key", "content", "start").join(found, ["key", "content"]).groupBy("uid").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 4 << 20):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 data, cuts = (text or "").encode(), _covered(found)
                 kept, at = hashlib.sha256(), 0
@@ -147,14 +164,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                row = (len(data), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), [{"start": a, "end": b} for a, b in cuts])
+                lost = sum(b - a for a, b in cuts)
+                row = (len(data), lost, len(cuts), kept.hexdigest(), len(data) - lost, [{"start": a, "end": b} for a, b in cuts])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed"])
 
-    schema = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
+    schema = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, removed array<struct<start:long,end:long>>"
     done = dealt.join(spans, "uid", "left").select("uid", "body", "found").mapInArrow(removed, schema)
     if names is not None:
-        return done.join(names, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+        return done.join(names, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed")
     return done.withColumnRenamed("uid", "doc_id")

@@ -22,8 +22,11 @@ import numpy as np
 
 #: Strings of names up to this length are ordered in memory.
 INTERNAL = 4_000_000
-#: Tuples in a batch at most, tuples in a range of keys, and bytes that waiting tuples may hold in memory.
-BATCH, RANGE, WAITING_BYTES = 1 << 16, 1 << 15, 64 << 20
+#: Tuples in a batch at most, tuples in a range of keys, and bytes that waiting tuples may hold in memory. A shard of a few MB already has
+#: more, so that the queues of every shard go through files.
+BATCH, RANGE, WAITING_BYTES = 1 << 16, 1 << 15, 4 << 20
+#: Results of more symbols than this are kept in files that are looked at in place.
+RESIDENT = 1 << 24
 _TUPLE = np.dtype([("key", np.int32), ("place", np.int32), ("lcp", np.int32)])
 _LONG_TUPLE = np.dtype([("key", np.int64), ("place", np.int64), ("lcp", np.int32)])
 _FAR = np.iinfo(np.int32).max
@@ -238,13 +241,23 @@ def induce(text: np.ndarray, alphabet: int, seeds: np.ndarray, seed_lcp: np.ndar
             queue.push(made)
     queue.close()
     out = places.array(), prefixes.array()
-    if isinstance(out[0], np.memmap):
+    if len(text) <= RESIDENT and isinstance(out[0], np.memmap):
         out = np.array(out[0]), np.array(out[1])
+    # A file without a name stays as long as it is looked at.
     places.close()
     prefixes.close()
     return out
 
 
+def _results(n: int, kind: type, folder: str) -> np.ndarray:
+    """Zeros, in a file without a name if there are many."""
+    if n <= RESIDENT:
+        return np.zeros(n, kind)
+    with tempfile.TemporaryFile(dir=folder) as f:
+        f.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(f, kind, "r+", shape=(n,))
+
+
 def _names(text: np.ndarray, rising: np.ndarray, starts: np.ndarray, alphabet: int) -> tuple[np.ndarray, int]:
     """Ranks of the S* substrings, equal for equal ones, and their number. Symbols carry their type, which orders a suffix that goes on falling before one that ends."""
     bits = int(2 * alphabet + 1).bit_length()
@@ -379,8 +392,7 @@ def suffix_arrays(text: np.ndarray, alphabet: int, limit: int, folder: str, inte
     ordered_up_lcp = np.zeros(len(up), np.int64)
     gap = len(up) - len(up_lcp)
     ordered_up_lcp[1 + gap :] = up_lcp[::-1][: len(up) - 1 - gap] if len(up) > 1 + gap else 0
-    order = np.empty(n, np.int64)
-    lcp = np.zeros(n, np.int64)
+    order, lcp = _results(n, np.int64, folder), _results(n, np.int32, folder)
     begin = np.cumsum(symbols) - symbols
     low = text[down].astype(np.int64)
     rank = np.arange(len(down)) - (np.cumsum(falling) - falling)[low]
@@ -394,4 +406,5 @@ def suffix_arrays(text: np.ndarray, alphabet: int, limit: int, folder: str, inte
     at = begin[turn] + falling[turn]
     lcp[at] = np.minimum(_run_lengths(text, order[at - 1], limit), _run_lengths(text, order[at], limit))
     lcp[begin[symbols > 0]] = 0
-    return order, np.minimum(lcp, limit)
+    np.minimum(lcp, limit, out=lcp)
+    return order, lcp

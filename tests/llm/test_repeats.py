@@ -4,8 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from planweave.llm import suffixes
-from planweave.llm.anchors import WINDOW, passages
+from planweave.llm import repeats, suffixes
+from planweave.llm.anchors import WINDOW, parts, passages
 from planweave.llm.repeats import without_repeats
 from planweave.llm.suffixes import suffix_arrays
 
@@ -28,6 +28,7 @@ def test_suffix_arrays(tmp_path, monkeypatch, seed):
         monkeypatch.setattr(suffixes, "BATCH", int(rng.integers(1, 20)))
         monkeypatch.setattr(suffixes, "RANGE", int(rng.integers(1, 30)))
         monkeypatch.setattr(suffixes, "WAITING_BYTES", 200)
+        monkeypatch.setattr(suffixes, "RESIDENT", int(rng.choice([10, 10**6])))
         body = rng.integers(1, rng.integers(2, 7), rng.integers(1, 60))
         if rng.random() < 0.4:
             body = np.tile(body[: max(1, len(body) // 4)], 4)
@@ -57,6 +58,8 @@ def test_passages_own_every_window_once():
         key, first, count, again = passages(data)
         assert first[0] == 0 and (first[1:] == (first + count)[:-1]).all() and first[-1] + count[-1] == len(data) - WINDOW + 1
         assert len(key) == len(again)
+        key, first, count = parts(data)
+        assert first[0] == 0 and (first[1:] == (first + count)[:-1]).all() and first[-1] + count[-1] == len(data) - WINDOW + 1
     assert len(passages(np.full(WINDOW - 1, 32, np.uint8))[0]) == 0
 
 
@@ -95,3 +98,26 @@ def test_repeated_and_null_ids_are_separate_documents(spark):
     rows = sorted((r["doc_id"] or -1, r["n_bytes"] - r["n_removed"]) for r in without_repeats(docs).collect())
     assert rows == [(-1, 0), (-1, 1), (1, 0), (1, 0), (2, 0)]
     assert without_repeats(docs.limit(0)).count() == 0
+
+
+def test_hot_hashes_are_dealt_out(spark, monkeypatch):
+    """Many texts that all have one passage, each with another surrounding, make one hash far larger than a shard."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefg"), rng.integers(1, 9))) for _ in range(n))
+    shared = words(60)
+    rows = [*texts(), *((100 + k, f"{words(40)} {shared[: 200 + 3 * k]} {words(40)} {shared}") for k in range(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in without_repeats(docs).collect()}
+    assert found == plain(rows)
+
+
+def test_queues_of_a_whole_shard_go_through_files(tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 123, repeats.SHARD_BYTES // 4).astype(np.uint8).tobytes()
+    spilled = []
+    monkeypatch.setattr(suffixes.Spool, "spill", lambda self, f=suffixes.Spool.spill: (spilled.append(1), f(self))[1])
+    texts = [base, base[: len(base) // 2] + b"!" + base[len(base) // 2 :]]
+    a, b = repeats.repeated_starts(texts, [len(t) - WINDOW + 1 for t in texts], [1, 1], str(tmp_path))
+    assert a.sum() == len(a) - (WINDOW - 1) and b.sum() == len(b) - WINDOW and len(spilled) > 10
+    assert not list(tmp_path.iterdir())

@@ -66,9 +66,10 @@ def equi_depth(df: DataFrame, column: str, settings: ProfileSettings | None = No
     n = counts.agg(F.sum("c")).first()[0] or 0
     if isinstance(df.schema[column].dataType, T.NumericType):
         bounds = sorted(set(counts.agg(F.percentile_approx("v", [k / s.ranges for k in range(1, s.ranges)], 10_000)).first()[0] or []))
-        place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("v"))) if bounds else F.lit(0)
-    else:  # strings: by their first character
-        place = F.coalesce(F.ascii(F.substring("v", 1, 1)), F.lit(0))
+    else:  # the quantiles of some values, those of the least hashes
+        drawn = sorted(r["v"] for r in counts.select("v").orderBy(F.xxhash64("v")).limit(64 * s.ranges).collect())
+        bounds = sorted({drawn[k * len(drawn) // s.ranges] for k in range(1, s.ranges)}) if drawn else []
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("v"))) if bounds else F.lit(0)
     ranged = counts.withColumn("range", place)
     heads = ranged.groupBy("range").agg(F.sum("c").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,35 +2,30 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planweave.plans.types import named
 
+#: The JVM's text of magnitudes below 1e-3 and from 1e7 on: sign, first digit, further digits, exponent.
+_EXPONENT = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
 
-def float_text(v: float | None) -> str | None:
-    if v is None:
-        return None
-    if np.isnan(v):
-        return "nan"
-    if np.isinf(v):
-        return "inf" if v > 0 else "-inf"
-    return np.format_float_positional(v, unique=True, trim="0")
 
-
-@F.pandas_udf(T.StringType())
-def _float_texts(values: pd.Series) -> pd.Series:
-    return values.map(float_text)
+def _positional(c: Column) -> Column:
+    """The text of a double without an exponent, from the JVM's shortest text with one."""
+    s = c.cast("string")
+    sign, head, tail, power = (F.regexp_extract(s, _EXPONENT, k) for k in range(1, 5))
+    digits = F.concat(head, F.when(tail == "0", F.lit("")).otherwise(tail))
+    e = power.cast("int")
+    large = F.when(F.length(digits) <= e + 1, F.concat(F.rpad(digits, e + 1, F.lit("0")), F.lit(".0"))).otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, F.length(digits))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    return F.when(F.instr(s, "E") == 0, s).otherwise(F.concat(sign, F.when(e >= 0, large).otherwise(small)))
 
 
 def _floats(c: Column) -> Column:
-    """JVM text where it is the same, that is for magnitudes from 1e-3 to 1e7 and zero; the UDF only beyond. Null stays null."""
-    plain = ((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7)) | (c == 0)
-    special = F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(plain, c.cast("string")).otherwise(F.coalesce(special, _float_texts(F.when(plain, F.lit(None).cast("double")).otherwise(c))))
+    """Null stays null."""
+    return F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf")).otherwise(_positional(c))
 
 
 def as_text(field: T.StructField) -> Column:

@@ -7,18 +7,24 @@ The sample tables have no table between part and supplier; lineitem, which has b
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planweave.functions.profile import ProfileSettings, equi_depth, physically_ordered, summary
 from planweave.functions.text import lines
-from planweave.plans.catalog import Catalog
+from planweave.plans.catalog import Catalog, ColumnSpec, TableSpec
 from planweave.plans.compile import compile_plan
 from planweave.plans.plan import Plan, Query, from_json, scan, tables_of, to_json, where
-from planweave.plans.types import Ref, f64, i32, i64, text, timestamp
+from planweave.plans.types import Ref, f32, f64, i32, i64, of_spark, text, timestamp
+from planweave.sources.blocks import read_blocks, write_blocks
+from planweave.sources.pipe import write_pipe
+from planweave.sources.schema_file import columns_of
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -187,6 +193,75 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.floor("s_acctbal").alias("balance")))
 
 
+def _scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share; on one machine a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(shared or tempfile.mkdtemp(prefix='planweave-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def pipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a bar-separated table, and read again by a schema file, through a plan."""
+    source = _table(spark, sf_dir, "customer")
+    path = _scratch(spark, "pipe")
+    write_pipe(source, path)
+    columns = columns_of("|".join(source.columns) + "|\nI64|STRING|I32|FLOAT64|STRING|\n")
+    tables = Catalog({"customer": TableSpec("customer", path, columns, "pipe")})
+    return compile_plan(scan("customer").filter("c_acctbal", "GTE", f64(0.0)), tables, spark)
+
+
+def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a block file, and read again through a catalog of table specifications."""
+    source = _table(spark, sf_dir, "part")
+    path = _scratch(spark, "blocks")
+    write_blocks(source, path)
+    tables = Catalog.from_json(Catalog({"part": TableSpec("part", path, tuple(ColumnSpec(f.name, of_spark(f.dataType)) for f in source.schema), "blocks")}).to_specs())
+    return compile_plan(scan("part").filter("p_size", "GT", i32(5)), tables, spark)
+
+
+def block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of numbers alone, in blocks of 512 bytes."""
+    source = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    path = _scratch(spark, "numbers")
+    write_blocks(source, path, 512)
+    return read_blocks(spark, path, source.schema, 512)
+
+
+def float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats as text: as they are, far above and far below one, and those that are no numbers."""
+    price = F.col("o_totalprice")
+    special = F.when(F.col("o_orderkey") % 4 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 4 == 1, F.lit(float("inf"))).when(F.col("o_orderkey") % 4 == 2, F.lit(float("-inf"))).otherwise(F.lit(0.0))
+    rows = _table(spark, sf_dir, "orders").filter(price >= 100_000)
+    return lines(rows.select("o_orderkey", price, (price * 100_000).alias("large"), (price / -1e9).alias("small"), special.alias("special")))
+
+
+def _floating(spark: SparkSession, sf_dir: str) -> Catalog:
+    x = F.when(F.col("n_nationkey") % 5 == 0, F.lit(float("nan"))).when(F.col("n_nationkey") % 5 == 1, F.lit(0.1)).otherwise(F.col("n_nationkey") / 10 - 1)
+    tables = Catalog()
+    tables.add("floating", _table(spark, sf_dir, "nation").select("n_nationkey", x.alias("x"), x.cast("float").alias("y"), F.lit(float("nan")).alias("z")))
+    return tables
+
+
+def nan_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN is in no order, and unequal to all: rows by the comparisons that they pass."""
+    tables, found = _floating(spark, sf_dir), []
+    for k, (operator, column, value) in enumerate((("GT", "x", f64(0.0)), ("LTE", "x", f64(0.5)), ("NE", "x", f64(0.1)), ("EQ", "z", Ref("x")), ("NE", "x", Ref("z")), ("GTE", "y", f32(0.1)), ("EQ", "y", f32(0.1)))):
+        found.append(compile_plan(scan("floating").filter(column, operator, value).project("n_nationkey"), tables, spark).withColumn("passed", F.lit(k)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def profile_beyond_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values beyond the exact limit are estimated; whether the estimates lie within five standard errors of the counts."""
+    s, names = ProfileSettings(exact_distinct=100), ["o_orderkey", "o_totalprice", "o_custkey"]
+    rows = _table(spark, sf_dir, "orders")
+    found = summary(rows, names, s).select("column_name", "row_count", "min_value", "max_value", "distinct_count")
+    exact = rows.agg(*[F.count_distinct(n).alias(n) for n in names]).unpivot([], names, "column_name", "exact")
+    return found.join(exact, "column_name").select("column_name", "row_count", "min_value", "max_value", (F.abs(F.col("distinct_count") - F.col("exact")) <= 5 * s.error * F.col("exact")).alias("near"))
+
+
+def histogram_many_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equi_depth(_table(spark, sf_dir, "customer"), "c_name")
+
+
 def _summary_sql(table: str, column: str, numeric: bool) -> str:
     low, high = (f"CAST(min({column}) AS DOUBLE)", f"CAST(max({column}) AS DOUBLE)") if numeric else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
     return f"SELECT '{column}' AS column_name, count(*) AS row_count, {low} AS min_value, {high} AS max_value, count(DISTINCT {column}) AS distinct_count, CAST(count(DISTINCT {column}) * 1.0 / count(*) AS FLOAT) AS density FROM {table}"
@@ -196,13 +271,20 @@ def _histogram_sql(table: str, column: str) -> str:
     return f"SELECT bucket, min(v) AS low, max(v) AS high, count(*) AS frequency FROM (SELECT {column} AS v, CAST(floor((row_number() OVER (ORDER BY {column}) - 1) * 10 / (SELECT count(*) FROM {table})) AS BIGINT) AS bucket FROM {table}) GROUP BY bucket"
 
 
-_FUNCTIONS = (profile_orders_totalprice, profile_part_size, profile_strings, histogram_equi_depth, histogram_strings, physical_order, result_text)
+_FUNCTIONS = (profile_orders_totalprice, profile_part_size, profile_strings, profile_beyond_exact, histogram_equi_depth, histogram_strings, histogram_many_strings, physical_order, result_text, float_text, pipe_table, block_table, block_numbers, nan_predicates)
 _FUNCTION_SQL = {
     "profile_orders_totalprice": _summary_sql("orders", "o_totalprice", True),
     "profile_part_size": _summary_sql("part", "p_size", True),
     "profile_strings": _summary_sql("customer", "c_mktsegment", False),
     "histogram_equi_depth": _histogram_sql("part", "p_retailprice"),
     "histogram_strings": _histogram_sql("part", "p_type"),
+    "histogram_many_strings": _histogram_sql("customer", "c_name"),
+    "profile_beyond_exact": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, TRUE AS near FROM orders" for c in ("o_orderkey", "o_totalprice", "o_custkey")),
+    "float_text": "SELECT o_orderkey || '|' || CAST(o_totalprice AS VARCHAR) || '|' || CAST(o_totalprice * 100000 AS VARCHAR) || '|' || CAST(o_totalprice / -1e9 AS VARCHAR) || '|' || CASE o_orderkey % 4 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE '0.0' END || '|' AS line FROM orders WHERE o_totalprice >= 100000",
+    "pipe_table": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal >= 0",
+    "block_table": "SELECT * FROM part WHERE p_size > 5",
+    "block_numbers": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",
+    "nan_predicates": "WITH f AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 0.1 ELSE n_nationkey / 10 - 1 END AS x FROM nation) SELECT n_nationkey, CAST(k AS INTEGER) AS passed FROM f, range(7) r(k) WHERE CASE k WHEN 0 THEN NOT isnan(x) AND x > 0 WHEN 1 THEN NOT isnan(x) AND x <= 0.5 WHEN 2 THEN isnan(x) OR x <> 0.1 WHEN 3 THEN FALSE WHEN 4 THEN TRUE WHEN 5 THEN NOT isnan(x) AND x::FLOAT >= 0.1::FLOAT ELSE NOT isnan(x) AND x::FLOAT = 0.1::FLOAT END",
     "physical_order": "SELECT 'o_orderkey' AS column_name, count(*) FILTER (WHERE a > o_orderkey) = 0 AS ordered FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY file_row_number) AS a FROM (SELECT o_orderkey, row_number() OVER () AS file_row_number FROM orders)) UNION ALL SELECT 'o_orderdate', count(*) FILTER (WHERE a > o_orderdate) = 0 FROM (SELECT o_orderdate, lag(o_orderdate) OVER (ORDER BY file_row_number) AS a FROM (SELECT o_orderdate, row_number() OVER () AS file_row_number FROM orders))",
     "result_text": "SELECT s_suppkey || '|' || s_name || '|' || s_nationkey || '|' || CAST(floor(s_acctbal) AS BIGINT) || '|' AS line FROM supplier",
 }

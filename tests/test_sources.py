@@ -1,12 +1,13 @@
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planweave.__main__ import main
 from planweave.functions.profile import ProfileSettings, equi_depth, physically_ordered, profile_table, sample, summary
-from planweave.functions.text import float_text, lines
+from planweave.functions.text import lines
 from planweave.plans.catalog import Catalog
 from planweave.plans.compile import compile_plan
 from planweave.plans.plan import PlanError, scan, to_json, where
@@ -53,8 +54,36 @@ def test_block_files(spark, tmp_path, size):
     n = write_blocks(df, path, size)
     assert (tmp_path / "t.bin").stat().st_size == n * size
     assert same_bag(read_blocks(spark, path, schema, size), df)
-    catalog = Catalog.from_json('{"tables": [{"name": "t", "path": "%s", "format": "blocks", "rows": null, "columns": [%s]}]}' % (path, ",".join('{"name": "%s", "type": "%s", "stats": {"block_size": %d}}' % (a, b, size) for a, b in (("i", "Int32"), ("l", "Int64"), ("f", "Float32"), ("d", "Float64"), ("s", "String")))))
+    catalog = Catalog.from_json('{"tables": [{"name": "t", "path": "%s", "format": "blocks", "rows": null, "options": {"block_size": %d}, "columns": [%s]}]}' % (path, size, ",".join('{"name": "%s", "type": "%s", "stats": {}}' % (a, b) for a, b in (("i", "Int32"), ("l", "Int64"), ("f", "Float32"), ("d", "Float64"), ("s", "String")))))
     assert compile_plan(scan("t").filter("i", "GTE", i32(0)), catalog, spark).count() == 250
+    profile_table(catalog, catalog.frame(spark, "t"), "t")  # statistics do not replace the size of blocks
+    again = Catalog.from_json(catalog.to_json())
+    assert again.tables["t"].rows == 300 and same_bag(again.frame(spark, "t"), df)
+    numbers = df.drop("s")
+    write_blocks(numbers, path, size)
+    assert same_bag(read_blocks(spark, path, numbers.schema, size), numbers)
+
+
+def test_dates_in_parquet(spark, tmp_path):
+    spark.sql("SELECT 1 AS k, DATE '2020-02-03' AS d").write.parquet(str(tmp_path / "t"))
+    catalog = Catalog()
+    catalog.add("t", spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"))
+    again = Catalog.from_json(catalog.to_json())
+    assert [str(r["d"]) for r in again.frame(spark, "t").collect()] == ["2020-02-03 00:00:00"]
+
+
+def test_catalogs_of_table_specifications(spark):
+    catalog = Catalog.from_directory(spark, SF, ("nation",))
+    profile_table(catalog, catalog.frame(spark, "nation"), "nation")
+    again = Catalog.from_json(catalog.to_specs())
+    assert again.tables["nation"].rows == 25 and again.tables["nation"].format == "parquet"
+    for a, b in zip(catalog.tables["nation"].columns, again.tables["nation"].columns, strict=True):
+        assert (a.name, a.type) == (b.name, b.type)
+        assert {k: v for k, v in a.stats.items() if k in ("ordered", "range", "histogram", "density") and v is not False} == b.stats
+    made = Catalog.from_json('{"table_specs": [{"name": "t", "file_id": "t.bin", "column_specs": [{"column_name": "k", "data_type": "Int32", "stats": ["IsPhysicallyOrdered", {"CardinalityStat": 7}, {"RangeStat": {"lower_bound": {"Int32": 1}, "upper_bound": {"Int32": 9}}}]}, {"column_name": "s", "data_type": "String", "stats": null}]}]}')
+    assert made.tables["t"].rows == 7 and made.tables["t"].format == "blocks" and made.tables["t"].columns[0].stats == {"ordered": True, "range": [1, 9]}
+    with pytest.raises(PlanError):
+        Catalog.from_json('{"table_specs": [{"name": "t", "file_id": "t", "column_specs": [{"column_name": "k", "data_type": "Int8", "stats": null}]}]}')
 
 
 def test_block_layout():
@@ -67,8 +96,7 @@ def test_block_layout():
 
 def test_values_as_text(spark):
     cases = {1.0: "1.0", 0.1: "0.1", 12345678.0: "12345678.0", 1e20: "100000000000000000000.0", 1e-5: "0.00001", -2.5: "-2.5", 0.0: "0.0", float("inf"): "inf", float("-inf"): "-inf", 123456.789: "123456.789", 0.001: "0.001", 9999999.5: "9999999.5"}
-    for value, wanted in cases.items():
-        assert float_text(value) == wanted
+    cases |= {float(np.float64(m) * 10.0**e): np.format_float_positional(float(np.float64(m) * 10.0**e), unique=True, trim="0") for m in (1, -7, 1.25, 3.0000001, -9.87654321) for e in range(-30, 31, 3)}
     df = spark.createDataFrame([(v,) for v in cases], "d double")
     assert {r["line"] for r in lines(df).collect()} == {w + "|" for w in cases.values()}
     mixed = spark.createDataFrame([(1, 2, 0.1, "a|b"), (None, None, None, None)], "a int, b long, f float, s string")

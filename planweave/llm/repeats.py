@@ -121,8 +121,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     size = F.sum(F.col("at.starts") + (WINDOW - 1))
     total = contents.agg(size).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
-    hot = contents.groupBy("key").agg(size.alias("bytes")).filter(F.col("bytes") > SHARD_BYTES).select("key", F.lit(True).alias("hot"))
-    wanted = contents.join(hot, "key", "left").select(F.col("at.uid").alias("uid"), F.struct("at.start", "at.starts", "key", "content", "weight", F.coalesce("hot", F.lit(False)).alias("hot")).alias("p")).groupBy("uid").agg(F.collect_list("p").alias("wanted"))
+    hot = pinned(contents.groupBy("key").agg(size.alias("bytes")).filter(F.col("bytes") > SHARD_BYTES).select("key", F.lit(True).alias("hot")))
+    # Held after the join, so that nothing above keeps Spark from splitting the tasks of hot keys.
+    flagged = contents.withColumn("hot", F.lit(False)) if hot.isEmpty() else pinned(contents.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    wanted = flagged.select(F.col("at.uid").alias("uid"), F.struct("at.start", "at.starts", "key", "content", "weight", "hot").alias("p")).groupBy("uid").agg(F.collect_list("p").alias("wanted"))
     # Both uses below read one exchange of the texts.
     dealt = rows.filter("uid IS NOT NULL").repartition(count, "uid")
 

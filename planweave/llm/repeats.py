@@ -8,6 +8,9 @@ dealt out again: they are cut by the least hash of every window in a second orde
 from external induced sorting (see ``suffixes``): suffixes with a common prefix of 400 make a class, and a class with more than one
 occurrence marks all its window starts.
 
+Strings shorter than 400 bytes stay. Whether a document shares such a string with another is told beside this by ``n_shared_marks``, the number of its
+marks (see ``anchors``) that other documents have too: above 0 wherever 299 bytes are shared, and often from 150 on.
+
 Defined cases: a null or empty text has no bytes; shorter texts keep all; rows that share an id, and null ids, are separate documents;
 other columns are ignored. Texts of any length are cut in pieces of ``PIECE`` bytes, whose windows overlap, while hashing.
 """
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planweave.llm.anchors import WINDOW, parts, passages
+from planweave.llm.anchors import MARK, WINDOW, parts, passages
 from planweave.llm.common import partitions, pinned, released, slices, stored
 from planweave.llm.suffixes import suffix_arrays
 
@@ -33,27 +36,50 @@ PIECE = 4 << 20
 SHARD_BYTES = 4 << 20
 
 
-def _passages(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(hash, hash of the bytes, first window start, window starts, whether its own windows may repeat) of all passages of a document."""
-    for base in range(0, max(len(data) - WINDOW + 1, 0), PIECE):
+def _passages(data: bytes) -> tuple[list[tuple[int, int, int, int, bool]], np.ndarray]:
+    """(hash, hash of the bytes, first window start, window starts, whether its own windows may repeat) of all passages of a document, and
+    its different marks."""
+    found, marks = [], [np.empty(0, np.uint64)]
+    for base in range(0, max(len(data) - MARK + 1, 0), PIECE):
         piece = data[base : base + PIECE + WINDOW - 1]
-        keys, first, count, inner = passages(np.frombuffer(piece, np.uint8))
+        keys, first, count, inner, here = passages(np.frombuffer(piece, np.uint8))
+        marks.append(here)
         for k, a, n, i in zip(keys.view(np.int64).tolist(), first.tolist(), count.tolist(), inner.tolist(), strict=True):
             content = xxhash.xxh3_64_intdigest(piece[a : a + n + WINDOW - 1])
-            yield k, content - (1 << 64) * (content >> 63), base + a, n, i
+            found.append((k, content - (1 << 64) * (content >> 63), base + a, n, i))
+    return found, (marks[1] if len(marks) == 2 else np.unique(np.concatenate(marks))).view(np.int64)
 
 
 def passage_table(rows: DataFrame) -> DataFrame:
-    """uid, key, content, start, starts, inner: all passages of rows (uid, body)."""
+    """uid, key, content, start, starts, inner: all passages of rows (uid, body); and for each document with marks a row of uid and marks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 4 << 20):
-            found = [(uid, *p) for uid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if text for p in _passages(text.encode())]
+            found, owners, marks = [], [], []
+            for uid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if text:
+                    of_text, here = _passages(text.encode())
+                    found += [(uid, *p) for p in of_text]
+                    if len(here):
+                        owners.append(uid)
+                        marks.append(here)
             columns = list(zip(*found, strict=True)) if found else [()] * 6
             kinds = [*[pa.int64()] * 5, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["uid", "key", "content", "start", "starts", "inner"])
+            names = ["uid", "key", "content", "start", "starts", "inner", "marks"]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.nulls(len(found), longs)], names)
+            ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *marks])))
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), *(pa.nulls(len(owners), k) for k in kinds[1:]), held], names)
+
+    return rows.mapInArrow(cut, "uid long, key long, content long, start long, starts long, inner boolean, marks array<long>")
+
 
-    return rows.mapInArrow(cut, "uid long, key long, content long, start long, starts long, inner boolean")
+def shared_marks(table: DataFrame) -> DataFrame:
+    """uid, n_shared_marks: how many different marks of a document are in other documents too, where any is."""
+    marks = table.filter("marks IS NOT NULL").select("uid", F.explode("marks").alias("mark"))
+    met = marks.groupBy("mark").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).filter("a < b").select("mark")
+    return marks.join(met, "mark", "left_semi").groupBy("uid").agg(F.count("*").alias("n_shared_marks"))
 
 
 def repeated_starts(texts: list[bytes], starts: list[int], weights: list[int], folder: str) -> list[np.ndarray]:
@@ -111,10 +137,11 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes and the removed runs (start and end, in bytes) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, the removed runs (start and end, in bytes) and n_shared_marks of every document."""
     rows, names = _identified(docs)
     count = partitions(docs.sparkSession)
-    table = stored(passage_table(rows), "passages")
+    noted = stored(passage_table(rows), "passages")
+    table = noted.filter("key IS NOT NULL").drop("marks")
     shared = table.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).filter("n > 1 OR inner").select("key")
     met = table.join(shared, "key", "left_semi")
     contents = pinned(met.groupBy("key", "content").agg(F.min(F.struct("uid", "start", "starts")).alias("at"), F.count("*").alias("weight")))
@@ -175,6 +202,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     schema = "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, removed array<struct<start:long,end:long>>"
     done = dealt.join(spans, "uid", "left").select("uid", "body", "found").mapInArrow(removed, schema)
+    done = done.join(shared_marks(noted), "uid", "left").withColumn("n_shared_marks", F.coalesce("n_shared_marks", F.lit(0)))
     if names is not None:
-        return done.join(names, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed")
+        return done.join(names, "uid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed", "n_shared_marks")
     return done.withColumnRenamed("uid", "doc_id")

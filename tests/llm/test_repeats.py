@@ -55,7 +55,7 @@ def test_queue_on_disk(tmp_path, monkeypatch):
 def test_passages_own_every_window_once():
     rng = np.random.default_rng(0)
     for data in (rng.integers(97, 100, 5000).astype(np.uint8), np.full(3000, 32, np.uint8), np.tile(rng.integers(97, 123, 37), 60).astype(np.uint8), rng.integers(97, 123, WINDOW).astype(np.uint8)):
-        key, first, count, again = passages(data)
+        key, first, count, again, _ = passages(data)
         assert first[0] == 0 and (first[1:] == (first + count)[:-1]).all() and first[-1] + count[-1] == len(data) - WINDOW + 1
         assert len(key) == len(again)
         key, first, count = parts(data)
@@ -121,3 +121,18 @@ def test_queues_of_a_whole_shard_go_through_files(tmp_path, monkeypatch):
     a, b = repeats.repeated_starts(texts, [len(t) - WINDOW + 1 for t in texts], [1, 1], str(tmp_path))
     assert a.sum() == len(a) - (WINDOW - 1) and b.sum() == len(b) - WINDOW and len(spilled) > 10
     assert not list(tmp_path.iterdir())
+
+
+def test_shorter_shared_strings_are_told(spark, monkeypatch):
+    """Marks against common strings of two documents: always from 299 bytes on, never below 150; only other documents count."""
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(n))
+    passages_ = [words(120) for _ in range(3)]
+    twice = words(60)
+    rows = [(0, words(90)), (1, twice[:380] + words(30) + twice[:380]), (2, None), (3, ""), (4, "ab" * 60)]
+    for k, (text, n) in enumerate(zip(passages_, (299, 330, 149), strict=True)):
+        rows += [(10 + 10 * k + i, f"{words(20 * i)}#{i}{text[40 : 40 + n]}{i}#{words(130 * (2 - i))}") for i in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r["doc_id"] for r in without_repeats(docs).filter("n_shared_marks > 0").collect()}
+    assert told == {10, 11, 20, 21}

@@ -97,6 +97,7 @@ def test_block_layout():
 def test_values_as_text(spark):
     cases = {1.0: "1.0", 0.1: "0.1", 12345678.0: "12345678.0", 1e20: "100000000000000000000.0", 1e-5: "0.00001", -2.5: "-2.5", 0.0: "0.0", float("inf"): "inf", float("-inf"): "-inf", 123456.789: "123456.789", 0.001: "0.001", 9999999.5: "9999999.5"}
     cases |= {float(np.float64(m) * 10.0**e): np.format_float_positional(float(np.float64(m) * 10.0**e), unique=True, trim="0") for m in (1, -7, 1.25, 3.0000001, -9.87654321) for e in range(-30, 31, 3)}
+    cases |= {v: np.format_float_positional(v, unique=True, trim="0") for v in (5e-324, 1e23, 2e23, 9.5e-323, 17366547000.000002, 1.7976931348623157e308)}
     df = spark.createDataFrame([(v,) for v in cases], "d double")
     assert {r["line"] for r in lines(df).collect()} == {w + "|" for w in cases.values()}
     mixed = spark.createDataFrame([(1, 2, 0.1, "a|b"), (None, None, None, None)], "a int, b long, f float, s string")
